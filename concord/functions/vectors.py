@@ -34,7 +34,8 @@ def unit(v: Column) -> Column:
 
 
 def mean(array: Column) -> Column:
-    return _sum(array) / F.size(array)
+    """Mean; null of an empty array."""
+    return F.try_divide(_sum(array), F.size(array))
 
 
 def mean_extreme(array: Column, k: int, largest: bool) -> Column:

@@ -35,6 +35,13 @@ def number_lines(lines: DataFrame, counted: str | None = None) -> DataFrame:
     return rows.withColumn("ordinal", (F.col("__start") + F.col("__within")).cast("long")).drop("__one", "__start", "__within", "block")
 
 
+def _strip(c) -> F.Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+_FILLED = r"value RLIKE '\\S'"
+
+
 def _raw_fields(value: str, keys: list[str]) -> list:
     """The JSON text of each key's value; null for a missing key and for a JSON null."""
     parsed = F.try_parse_json(F.col(value))
@@ -54,17 +61,16 @@ def read_records(spark: SparkSession, path: str, columns: dict[str, str], label_
     out. A line that is not JSON is an error, or left out if ``malformed`` is "skip";
     it has an ordinal either way.
     """
-    lines = _lines(spark, path).where(F.trim("value") != "")
+    lines = _lines(spark, path).where(_FILLED)
     rows = number_lines(lines)
     if limit is not None:
         rows = rows.where(F.col("ordinal") < limit)
-    raw = _raw_fields("value", [*columns.values(), label_key])
-    broken = F.try_parse_json("value").isNull()
     if malformed == "raise":
-        ordinal = F.when(broken, F.raise_error(F.concat(F.lit("invalid JSON at record "), F.col("ordinal").cast("string"))).cast("long")).otherwise(F.col("ordinal"))
-    else:
-        rows, ordinal = rows.where(~broken), F.col("ordinal")
-    found = rows.select(ordinal.alias("sample_id"), *(_string(r).alias(c) for r, c in zip(raw, columns, strict=False)), label_to_int(raw[-1]).alias("label"))
+        # in the value itself, so that no later filter can drop the row before it fails
+        message = F.concat(F.lit("invalid JSON at record "), F.col("ordinal").cast("string"))
+        rows = rows.withColumn("value", F.when(F.try_parse_json("value").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("value")))
+    raw = _raw_fields("value", [*columns.values(), label_key])
+    found = rows.select(F.col("ordinal").alias("sample_id"), *(_string(r).alias(c) for r, c in zip(raw, columns, strict=False)), label_to_int(raw[-1]).alias("label"))
     return found.dropna(subset=[*columns, "label"])
 
 
@@ -90,7 +96,7 @@ def read_video_records(spark: SparkSession, path: str, max_samples: int | None =
     id, if it is all digits, else line_idx. Records without video_path or label, and
     lines that are not JSON, are left out; ``max_samples`` counts those that stay.
     """
-    rows = number_lines(_lines(spark, path)).where(F.trim("value") != "")
+    rows = number_lines(_lines(spark, path)).where(_FILLED)
     sid, other, video, label = _raw_fields("value", ["sample_id", "id", "video_path", "label"])
     given = F.coalesce(_string(sid), _string(other))
     digits = F.when(given.rlike("^[0-9]+$"), given.try_cast("long"))
@@ -123,7 +129,7 @@ def read_json_array(spark: SparkSession, path: str, columns: dict[str, str], lab
 
 def read_labelled_folders(spark: SparkSession, path: str, member: str = "member", other: str = "non-member") -> DataFrame:
     """(file, text, label): a text a file, label 1 below a folder called ``member``, 0 below ``other``."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), _strip("value").alias("text"))
     folder = F.element_at(F.split("file", "/"), -2)
     return files.select("file", "text", F.when(folder == member, 1).when(folder == other, 0).alias("label")).where("label IS NOT NULL")
 
@@ -139,8 +145,8 @@ def read_results(spark: SparkSession, path: str, label_key: str = "label") -> Da
     """
     lines = _lines(spark, path)
     w = Window.partitionBy("file").orderBy("block", "line_id")
-    rows = lines.withColumn("line_no", F.row_number().over(w)).where(F.trim("value") != "")
-    good = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    rows = lines.withColumn("line_no", F.row_number().over(w)).where(_FILLED)
+    good = _strip("value").startswith("{") & F.try_parse_json("value").isNotNull()
     wrong = F.raise_error(F.concat(F.lit("invalid record in "), F.col("file"), F.lit(" at line "), F.col("line_no").cast("string")))
     value = F.when(good, F.col("value")).otherwise(wrong.cast("string"))
     schema = T.StructType.fromDDL(f"sample_id long, `{label_key}` long, status string, membership_score double, trajectory_evidence {EVIDENCE}")

@@ -20,7 +20,8 @@ def write_fused(fused: DataFrame, auc: DataFrame, feature_names: list[str], meth
     It is one value by its format, so its samples meet in one task; for many samples
     write_results() keeps them apart.
     """
-    samples = fused.agg(F.array_sort(F.collect_list(F.struct(*fused.columns))).alias("samples"))
+    by_id = lambda a, b: F.when(a["sample_id"] < b["sample_id"], -1).when(a["sample_id"] > b["sample_id"], 1).otherwise(0)
+    samples = fused.agg(F.array_sort(F.collect_list(F.struct(*fused.columns)), by_id).alias("samples"))
     value = F.when(F.isnan("auc"), F.lit(None)).otherwise(F.col("auc"))
     doc = samples.crossJoin(auc.limit(1)).select(F.to_json(F.struct(F.lit(method).alias("method"), F.array(*map(F.lit, feature_names)).alias("feature_names"), value.alias("auc"), "samples"), {"pretty": "true"}))
     doc.coalesce(1).write.mode("overwrite").text(path)
