@@ -67,11 +67,13 @@ def features(b: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     inside[at[:-1][np.diff(at) > 0]] = False  # a text's first word has no neighbour before it
     yield pairs[inside[1:]], np.concatenate([[0], np.cumsum(np.maximum(np.diff(at) - 1, 0))])
     for size in GRAMS:
-        inner = solid[1 : m - size + 1].copy()
+        if m < size:
+            return
+        inner = solid[1 : m - size + 2].copy()
         for k in range(2, size - 1):
-            inner &= solid[k : k + m - size]
-        h = sums[size:-1] - sums[: -size - 1]
-        h *= inverse[: m - size]
+            inner &= solid[k : k + m - size + 1]
+        h = sums[size:] - sums[:-size]
+        h *= inverse[: m - size + 1]
         h *= _SPREAD_BITS
         h >>= shift
         runs = np.concatenate([[0], np.cumsum(inner, dtype=np.int64)])
