@@ -10,15 +10,17 @@ def broken_tensors(cells: DataFrame) -> DataFrame:
     """(sample_id, problem) of samples that are no complete, finite grid of two trajectories or more."""
     v = F.col("v").cast("array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sample = cells.groupBy("sample_id").agg(
-        F.count_distinct("traj").alias("t"),
-        F.count_distinct("step").alias("s"),
-        F.count_distinct("pos").alias("p"),
-        F.count_distinct("traj", "step", "pos").alias("cells"),
-        F.count("*").alias("rows"),
-        F.min(F.size("v")).alias("short"),
-        F.max(F.size("v")).alias("long"),
-        F.max(odd.cast("int")).alias("odd"),
+    # repeats are counted by cell first, so that a sample's aggregate needs no distinct count of its cells
+    each = cells.groupBy("sample_id", "traj", "step", "pos").agg(F.count("*").alias("rows"), F.min(F.size("v")).alias("short"), F.max(F.size("v")).alias("long"), F.max(odd.cast("int")).alias("odd"))
+    sample = each.groupBy("sample_id").agg(
+        F.size(F.collect_set("traj")).alias("t"),
+        F.size(F.collect_set("step")).alias("s"),
+        F.size(F.collect_set("pos")).alias("p"),
+        F.count("*").alias("cells"),
+        F.sum("rows").alias("rows"),
+        F.min("short").alias("short"),
+        F.max("long").alias("long"),
+        F.max("odd").alias("odd"),
     )
     problem = (
         F.when(F.col("t") < 2, "fewer than two trajectories")

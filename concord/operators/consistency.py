@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.vectors import cosine, mean, mean_extreme
+from concord.functions.vectors import dot, mean, mean_extreme, norm
 
 CELL = ["sample_id", "step", "pos"]
 VIEWS = ("expected", "pessimistic", "optimistic")
@@ -29,18 +29,23 @@ def _check(k: int, eps: float) -> None:
 
 
 def _pair_sims(runs: Column, eps: float) -> Column:
-    """Cosines of all pairs of runs, sorted by (traj, v), in the order (0,1), (0,2), ... (1,2), ..."""
-    each = F.transform(
-        runs, lambda a: F.transform(F.filter(runs, lambda b: b["traj"] > a["traj"]), lambda b: F.struct(a["traj"].alias("i"), b["traj"].alias("j"), cosine(a["v"], b["v"], eps).alias("sim")))
-    )
+    """Cosines of all pairs of runs (traj, v, n), n the norm of v, in the order (0,1), (0,2), ... (1,2), ..."""
+
+    def sim(a: Column, b: Column) -> Column:
+        size = a["n"] * b["n"]
+        return F.when(size > eps, dot(a["v"], b["v"]) / size).otherwise(F.lit(0.0))
+
+    each = F.transform(runs, lambda a: F.transform(F.filter(runs, lambda b: b["traj"] > a["traj"]), lambda b: F.struct(a["traj"].alias("i"), b["traj"].alias("j"), sim(a, b).alias("sim"))))
     return F.flatten(each)
 
 
-def cell_pairs(cells: DataFrame, eps: float = 1e-12, sample: str = "sample_id") -> DataFrame:
+def cell_pairs(cells: DataFrame, eps: float = 1e-12) -> DataFrame:
     """(sample_id, step, pos, pairs): an array of (i, j, sim) for each cell, of runs i < j."""
     if not eps > 0:
         raise ValueError("eps must be positive")
-    runs = F.array_sort(F.collect_list(F.struct("traj", F.col("v").cast("array<double>").alias("v"))))
+    # a vector's norm is taken once, before it meets the others
+    cells = cells.select(*CELL, "traj", F.col("v").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
+    runs = F.array_sort(F.collect_list(F.struct("traj", "v", "n")))
     return cells.groupBy(*CELL).agg(runs.alias("runs")).select(*CELL, _pair_sims(F.col("runs"), eps).alias("pairs"))
 
 
@@ -81,8 +86,9 @@ def evidence_from_pairs(pairs: DataFrame, k: int = 32, flat: bool = False) -> Da
         mean_extreme(F.collect_list("high"), k, True).alias("optimistic"),
         F.min("j").alias("num_pairs"),
         F.max("j").alias("most_pairs"),
-        F.count_distinct("step").alias("steps"),
-        F.count_distinct("pos").alias("positions"),
+        # sets of a sample's few steps and positions; distinct counts would multiply the rows before the aggregate
+        F.size(F.collect_set("step")).alias("steps"),
+        F.size(F.collect_set("pos")).alias("positions"),
         F.count("*").alias("cells"),
     )
     t = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + 8 * F.col("num_pairs"))) / 2).cast("int")
@@ -97,7 +103,7 @@ def evidence_from_pairs(pairs: DataFrame, k: int = 32, flat: bool = False) -> Da
         (F.col("expected") + F.col("pessimistic") + F.col("optimistic")).alias("membership_score"),
         t.alias("num_trajectories"),
         "num_pairs",
-        (F.lit(1) if flat else F.col("steps").cast("int")).alias("num_steps"),
+        (F.lit(1) if flat else F.col("steps")).alias("num_steps"),
         (F.col("cells") if flat else F.col("positions")).cast("int").alias("num_positions"),
         F.lit(k).alias("aggregation_topk"),
     )

@@ -58,7 +58,7 @@ def fuse(rows: DataFrame, pathways: Sequence[str], label: str = "label") -> Data
     if not pathways:
         raise ValueError("at least one pathway is required")
     ordered = F.array_sort(F.collect_list(F.struct("place", "pathway", *VIEWS)))
-    groups = rows.groupBy("sample_id").agg(ordered.alias("parts"), F.count_distinct("place").alias("places"), F.count("*").alias("n"), F.min("label").alias("label"), F.max("label").alias("most"))
+    groups = rows.groupBy("sample_id").agg(ordered.alias("parts"), F.size(F.collect_set("place")).alias("places"), F.count("*").alias("n"), F.min("label").alias("label"), F.max("label").alias("most"))
     problem = (
         F.when(F.col("n") > F.col("places"), F.lit("duplicate sample_id in a pathway"))
         .when(F.col("places") < len(pathways), F.lit("sample ids of the pathways do not match"))
