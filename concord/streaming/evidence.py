@@ -41,5 +41,5 @@ def start(spark: SparkSession, cells: str, output: str, checkpoint: str, k: int
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """(start, event_type, n, value) of a stream of events (ts, event_type, value), by windows that close when data is ``late``."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")

@@ -121,3 +121,10 @@ def test_streaming_scores_each_sample_once(spark, tmp_path):
     got = spark.read.parquet(out).collect()
     assert sorted(r.sample_id for r in got) == [0, 1, 9]
     assert all(math.isclose(r.expected, kernel.views(kernel.pair_cosines(a), 2)[0]) for r in got)
+
+
+def test_windows_of_a_stream(spark, sf, tmp_path):
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+    query = streaming.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("windows").agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
