@@ -110,6 +110,10 @@ class _Page:
 
     def part(self) -> str:
         r, form = self.r, self.r.random()
+        if form < 0.1:
+            tag, low = r.choice(("b", "strong", "em")), r.choice((1, 1, 3, 10))
+            end = r.choice((f"</{tag}></p>", "<br>", "<br></p>", f"</{tag}><br></p>"))
+            return f"<p><{tag}>{self.words(low, low + r.choice((0, 2, 20)), True)}{end}"
         if form < 0.66:
             end = r.choice(("</p>", "</p>", "</p>", ""))
             return f"<p>{self.inline(*r.choice(((1, 1), (1, 3), (3, 15), (15, 60), (40, 150))))}{end}"

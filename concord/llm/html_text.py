@@ -26,7 +26,7 @@ from concord.llm.dom import Node, name_tokens, parse
 from concord.llm.html_pages import MARK, marked_page
 
 #: Made pages that the model is learned from.
-PAGES = 600
+PAGES = 800
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIGNS = re.compile(r"[.,;:!?]")
 _FLAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "a", "li", "table")
@@ -156,7 +156,7 @@ def train(seeds: range) -> Model:
                 (good if k else bad)[0][n.tag] += 1
                 (good if k else bad)[1].update(set(name_tokens(n.attributes)))
     model = Model(_odds(good[0], bad[0]), _odds(good[1], bad[1]))
-    model.trees = gbt.fit(node_features(pages, model), np.concatenate(labels), trees=40, depth=4, rate=0.3)
+    model.trees = gbt.fit(node_features(pages, model), np.concatenate(labels), trees=50, depth=5, rate=0.25)
     return model
 
 
