@@ -64,9 +64,10 @@ def top_tokens(logits: DataFrame, d: int, allowed: DataFrame | None = None, stri
     top = logits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= d).select("sample_id", "pos", "rank", "token_id", "logit")
     if not strict:
         return top
-    counts = logits.groupBy("sample_id", "pos").agg(F.count("*").alias("n"))
-    sure = F.when(F.col("n") < d, F.raise_error(F.lit("fewer allowed tokens than d")).cast("boolean")).otherwise(F.lit(True))
-    return top.join(counts.where(sure), ["sample_id", "pos"], "left_semi")
+    # counted among what is left of each position, where it already is
+    have = F.count("*").over(Window.partitionBy("sample_id", "pos"))
+    short = F.raise_error(F.lit("fewer allowed tokens than d")).cast("int")
+    return top.withColumn("rank", F.when(have < d, short).otherwise(F.col("rank")))
 
 
 def candidate_probabilities(logits: DataFrame, candidates: DataFrame) -> DataFrame:

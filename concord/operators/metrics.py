@@ -48,7 +48,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: tuple
     value = F.when(F.isnan(score), F.raise_error(F.lit("scores must not be NaN")).cast("double")).otherwise(F.col(score).cast("double") + F.lit(0.0))
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("__label"), value.alias("__score"))
     counts = rows.groupBy(*by, "__score").agg(F.sum((F.col("__label") == 1).cast("long")).alias("p"), F.sum((F.col("__label") == 0).cast("long")).alias("n"))
-    counts = _running(counts, "__score", ["n"], by)
+    # both counts are summed up, so that the two places that need them share one scan and shuffle
+    counts = _running(counts, "__score", ["p", "n"], by)
     wins = F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2))
-    total = F.sum("p").cast("double") * F.sum("n")
+    total = F.max(F.col("p_before") + F.col("p")).cast("double") * F.max(F.col("n_before") + F.col("n"))
     return counts.groupBy(*by).agg(F.coalesce(F.when(total > 0, wins / F.when(total > 0, total)), F.lit(float("nan"))).alias("auc"))
