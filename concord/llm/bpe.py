@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.pieces import Cached, Splitter, runs, to_letters
+from concord.llm.pieces import Coder, library, runs, to_letters
 
 _NEVER = np.int64(1) << 40
 
@@ -153,7 +153,7 @@ class Merges:
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each piece."""
-        letters = [to_letters(p) for p in pieces]
+        letters = to_letters(pieces)
         found = [self.propose(x) for x in letters]
         sizes = np.array([len(f) if f else 0 for f in found])
         flat = np.fromiter((t for f in found if f for t in f), np.int64, sizes.sum())
@@ -169,27 +169,20 @@ class Merges:
 
 
 @lru_cache
-def _coder(path: str) -> tuple[Splitter, Cached]:
-    split, merges = Splitter(path), Merges(path)
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        plain = [p for p in pieces if p not in split.special]
-        ids = dict(zip(plain, merges.encode(plain), strict=True))
-        return [np.array(ids[p] if p in ids else [split.special[p]], "<u4").tobytes() for p in pieces]
-
-    return split, Cached(encode)
+def _coder(path: str) -> Coder:
+    merges = Merges(path)
+    return Coder(path, lambda pieces: [np.array(ids, "<u4").tobytes() for ids in merges.encode(pieces)])
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     """Token ids of each whole text as little-endian 32-bit integers; none for null and empty texts."""
-    split, cached = _coder(path)
-    return [ids for run in runs([t or "" for t in texts]) for ids in cached([split(t) for t in run])]
+    coder = _coder(path)
+    return [ids for run in runs([t or "" for t in texts]) for ids in coder(run)]
 
 
 @lru_cache
 def _names(path: str) -> list[str]:
-    split, _ = _coder(path)
-    t = split.tokenizer
+    t = library(path)
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
 
@@ -199,12 +192,11 @@ def decode_ids(path: str, ids: bytes) -> str:
     A vocabulary without a decoder of its own gives its tokens' names, a blank between
     them; a byte-level one gives the bytes that its letters stand for.
     """
-    split, _ = _coder(path)
-    names = _names(path)
+    names, decoder = _names(path), library(path).decoder
     tokens = [names[i] for i in np.frombuffer(ids, "<u4").tolist()]
-    if split.tokenizer.decoder is None:
+    if decoder is None:
         return " ".join(tokens)
-    return split.tokenizer.decoder.decode(tokens)
+    return decoder.decode(tokens)
 
 
 def _with_ids(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
+
 #: Code points of which texts are split here: Latin up to U+024F without those whose lower case lies elsewhere, and general punctuation that isn't white space.
 _OWN = [
     c
@@ -43,8 +45,10 @@ def byte_letters() -> tuple[str, ...]:
 
 
 @lru_cache
-def _letters_table() -> dict[int, str]:
-    return dict(enumerate(byte_letters()))
+def _code_points() -> np.ndarray:
+    points = np.array([ord(c) for c in byte_letters()], "<u2")
+    points[0xFF] = 10  # no byte of UTF-8; stands between pieces
+    return points
 
 
 @lru_cache
@@ -52,9 +56,12 @@ def _bytes_table() -> dict[int, int]:
     return {ord(c): b for b, c in enumerate(byte_letters())}
 
 
-def to_letters(piece: str) -> str:
-    """A piece's bytes in UTF-8, each as its letter."""
-    return piece.translate(_letters_table()) if piece.isascii() else piece.encode().decode("latin1").translate(_letters_table())
+def to_letters(pieces: list[str]) -> list[str]:
+    """Each piece's bytes in UTF-8, each as its letter; no letter is a line end."""
+    if not pieces:
+        return []
+    data = np.frombuffer(b"\xff".join([p.encode() for p in pieces]), np.uint8)
+    return _code_points()[data].tobytes().decode("utf-16-le").split("\n")
 
 
 def from_letters(letters: str) -> str:
@@ -84,11 +91,24 @@ class Splitter:
         self._apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._sign = os.path.commonprefix([*self.special]) if self.special else None
 
-    def __call__(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
+        """All pieces of a text."""
         if self._sign and self._sign in text:
             return [p for part in self._apart.split(text) for p in ([part] if part in self.special else self._plain(part))]
         return self._plain(text)
 
+    def units(self, text: str) -> list[str] | None:
+        """What stands between blanks, if no piece crosses them; None for texts that have to be split as a whole.
+
+        Where blanks are kept, a piece begins at each single one, so a unit and the blank
+        before it have the same pieces in any text.
+        """
+        if self._sign and self._sign in text or _FOREIGN.search(text):
+            return None
+        if self.lower:
+            return text.lower().split()
+        return None if "  " in text else text.split(" ")
+
     def _plain(self, text: str) -> list[str]:
         if _FOREIGN.search(text):
             if self.lower:
@@ -98,23 +118,58 @@ class Splitter:
 
 
 class Cached:
-    """Encoded pieces by piece, as bytes; forgets all beyond ``most`` pieces, which costs time and changes nothing."""
+    """Encoded pieces or units, as bytes; forgets all beyond ``most`` of them, which costs time and changes nothing."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int):
         self.encode, self.most = encode, most
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        new = list({p for pieces in texts for p in pieces if p not in known})
+        new = list(set().union(*texts).difference(self.known))
         if new:
-            known.update(zip(new, self.encode(new), strict=True))
-        get = known.__getitem__
+            self.known.update(zip(new, self.encode(new), strict=True))
+        get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in texts]
 
 
+class Coder:
+    """Encodes whole texts, units and pieces by way of what was encoded before; ``encode`` gives the ids of new pieces."""
+
+    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]], most: int = 500_000):
+        self.split = Splitter(path)
+        self._pieces = Cached(self._with_special(encode), most // 4)
+        self._units = Cached(self._unit_ids, most)
+
+    def _with_special(self, encode):
+        special = {s: i.to_bytes(4, "little") for s, i in self.split.special.items()}
+
+        def run(pieces: list[str]) -> list[bytes]:
+            plain = [p for p in pieces if p not in special]
+            ids = dict(zip(plain, encode(plain), strict=True))
+            return [ids[p] if p in ids else special[p] for p in pieces]
+
+        return run
+
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        find = self.split.pattern.findall
+        blank = "" if self.split.lower else " "
+        return self._pieces([find(blank + u) for u in units])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian 32-bit integers."""
+        units = [self.split.units(t) for t in texts]
+        hard = iter(self._pieces([self.split.pieces(t) for t, u in zip(texts, units, strict=True) if u is None]))
+        if self.split.lower:
+            easy = iter(self._units([u for u in units if u is not None]))
+            return [next(hard) if u is None else next(easy) for u in units]
+        # a text's first unit has no blank before it
+        heads = iter(self._pieces([self.split.pattern.findall(u[0]) for u in units if u is not None]))
+        easy = iter(self._units([u[1:] for u in units if u is not None]))
+        return [next(hard) if u is None else next(heads) + next(easy) for u in units]
+
+
 def runs(texts: list[str], most: int = 1 << 21) -> Iterable[list[str]]:
     """The texts in order, about ``most`` characters at a time."""
     run, size = [], 0

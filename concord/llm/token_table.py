@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concord.llm import store
-from concord.llm.pieces import Cached, Splitter, library, runs, to_letters
+from concord.llm.pieces import Coder, library, runs, to_letters
 
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<QQQQIQQI8s")
@@ -164,39 +164,34 @@ class Shard:
 
 
 @lru_cache
-def _library_coder(path: str) -> tuple[Splitter, Cached]:
-    """Pieces by Splitter, each encoded once by the library's own model, whatever texts it is in."""
+def _library_coder(path: str) -> Coder:
+    """Pieces are encoded by the library's own model, many at a time and each once, whatever texts it is in."""
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-    split = Splitter(path)
     plain = Tokenizer(library(path).model)
     plain.pre_tokenizer = CharDelimiterSplit("\n")  # no letter of a byte is a line end
     sizes = np.array([len(plain.id_to_token(i) or "") for i in range(plain.get_vocab_size())])
 
     def encode(pieces: list[str]) -> list[bytes]:
-        words = [i for i, p in enumerate(pieces) if p not in split.special]
-        out = [np.array([split.special.get(p, 0)], "<u4").tobytes() for p in pieces]
-        for low in range(0, len(words), 20_000):
-            some = words[low : low + 20_000]
-            letters = [to_letters(pieces[i]) for i in some]
+        out = []
+        for low in range(0, len(pieces), 20_000):
+            letters = to_letters(pieces[low : low + 20_000])
             ids = np.array(plain.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             # tokens are made of whole letters, so counting those tells where each piece ends
             ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x) for x in letters])) + 1
-            at = [0, *ends.tolist()]
-            data = ids.tobytes()
-            for k, i in enumerate(some):
-                out[i] = data[4 * at[k] : 4 * at[k + 1]]
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[i:j] for i, j in zip(at, at[1:])]
         return out
 
-    return split, Cached(encode)
+    return Coder(path, encode)
 
 
 def library_ids(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Token ids of each whole text by the tokenizers library; none for null and empty texts."""
-    split, cached = _library_coder(path)
+    coder = _library_coder(path)
     for run in runs([t or "" for t in texts]):
-        for ids in cached([split(t) for t in run]):
+        for ids in coder(run):
             yield np.frombuffer(ids, "<u4")
 
 
