@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import cut
+from concord.llm.shared import cut, dealt_anew
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -41,7 +41,7 @@ def _state(pairs: DataFrame) -> tuple:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node around it."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = dealt_anew(both.groupBy("u").agg(F.min("v").alias("m")), "u")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
@@ -49,5 +49,5 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     """A node and all below it that it links to are linked to the least of them."""
     pairs = pairs.distinct()
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    others = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = pairs.join(dealt_anew(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

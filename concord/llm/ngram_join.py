@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.components import connected_components
-from concord.llm.shared import cut
+from concord.llm.shared import cut, dealt_anew
 from concord.llm.words import binary, mix, ragged_binary, sequence_keys, shingles, text_chunks, word_hashes
 
 #: Members of a block; a task holds two blocks.
@@ -289,13 +289,13 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     )
     met = nodes.select("node", F.explode("bands").alias("band"))
     shared = met.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = met.join(shared, "band").join(nodes.select("node", "signature"), "node")
+    members = met.join(dealt_anew(shared, "band"), "band").join(nodes.select("node", "signature"), "node")
     task = ["band", "low", "high"]
     dealt = _blocks(members, "band", "members").select(*task, "node", "signature").repartition(*task).sortWithinPartitions(*task)
     near = connected_components(dealt.mapInArrow(lambda it: _likely(threshold, it), "u long, v long"))
     near = cut(near, "near")
     sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = near.join(sizes, "component").join(nodes.select("node", "rep", "copies"), "node")
+    grouped = near.join(dealt_anew(sizes, "component"), "component").join(nodes.select("node", "rep", "copies"), "node")
     texts = _with_text(grouped, docs)
     sets = texts.mapInArrow(lambda it: _sets(n, it), "node long, component long, size long, copies long, grams binary")
     task = ["component", "low", "high"]
@@ -310,7 +310,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
         .select("node", "rep", "copies", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     heads = per_node.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_node = per_node.join(heads, "component").select("node", "class_id", "class_size", "n_links")
+    per_node = per_node.join(dealt_anew(heads, "component"), "component").select("node", "class_id", "class_size", "n_links")
     return (
         described.select("doc_id", "node")
         .join(per_node, "node", "left")

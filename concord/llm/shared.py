@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -37,6 +38,17 @@ def cut(df: DataFrame, purpose: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df``, an aggregate by the long column ``key``, for a join on it.
+
+    Spark would join an aggregate where its rows are, and can't then split the other
+    side's rows of one key over tasks. Of a key that is computed it does not know where
+    the rows are, so both sides are dealt for the join, and adaptive execution splits
+    a large one. The aggregate itself, a row a key, is what is dealt once more.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
