@@ -124,22 +124,23 @@ class Cached:
         self.encode, self.most = encode, most
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
+    def __call__(self, texts: list[list[str]], joined: bool = True) -> list:
+        """The bytes of each text's pieces, as one or, if not ``joined``, as a list."""
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*texts).difference(self.known))
         if new:
             self.known.update(zip(new, self.encode(new), strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in texts]
+        return [b"".join(map(get, pieces)) if joined else list(map(get, pieces)) for pieces in texts]
 
 
 class Coder:
     """Encodes whole texts, units and pieces by way of what was encoded before; ``encode`` gives the ids of new pieces."""
 
-    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]], most: int = 500_000):
+    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
         self.split = Splitter(path)
-        self._pieces = Cached(self._with_special(encode), most // 4)
+        self._pieces = Cached(self._with_special(encode), most // 2)
         self._units = Cached(self._unit_ids, most)
 
     def _with_special(self, encode):
@@ -155,7 +156,12 @@ class Coder:
     def _unit_ids(self, units: list[str]) -> list[bytes]:
         find = self.split.pattern.findall
         blank = "" if self.split.lower else " "
-        return self._pieces([find(blank + u) for u in units])
+        found = [find(blank + u) for u in units]
+        # most units are one piece
+        one = self._pieces([[p[0] for p in found if len(p) == 1]], joined=False)[0]
+        more = iter(self._pieces([p for p in found if len(p) != 1]))
+        one = iter(one)
+        return [next(one) if len(p) == 1 else next(more) for p in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers."""
