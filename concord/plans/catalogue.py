@@ -190,12 +190,12 @@ def _rows_with_holes(spark, sf):
     return parts[0].where("sample_id % 7 <> 3").unionByName(parts[1].withColumn("label", F.when(F.col("sample_id") % 5 == 2, 1 - F.col("label")).otherwise(F.col("label"))))
 
 
-@_query("SELECT DISTINCT vec_id // 4 AS sample_id, 1 AS pathways FROM embeddings WHERE (vec_id // 4) % 7 = 3")
+@_query("SELECT DISTINCT vec_id // 4 AS sample_id, 1::BIGINT AS pathways FROM embeddings WHERE (vec_id // 4) % 7 = 3")
 def fuse_id_mismatch(spark, sf):
     return fusion.id_mismatches(_rows_with_holes(spark, sf), 2)
 
 
-@_query("SELECT DISTINCT vec_id // 4 AS sample_id, 0 AS low, 1 AS high FROM embeddings WHERE (vec_id // 4) % 5 = 2 AND (vec_id // 4) % 7 <> 3")
+@_query("SELECT DISTINCT vec_id // 4 AS sample_id, 0::BIGINT AS low, 1::BIGINT AS high FROM embeddings WHERE (vec_id // 4) % 5 = 2 AND (vec_id // 4) % 7 <> 3")
 def fuse_label_conflict(spark, sf):
     return fusion.label_conflicts(_rows_with_holes(spark, sf))
 
@@ -381,7 +381,7 @@ def changed_span(spark, sf):
     return rows.select("o_orderkey", masking.changed_span(F.col("a"), F.col("b")).alias("s")).select("o_orderkey", "s.*")
 
 
-@_query("SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w = 'the')) AS masked FROM conversations")
+@_query("SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w = 'the'))::INT AS masked FROM conversations")
 def turn_history_counts(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("token_ids"))
     return turns.select("conv_id", "turn", F.size(F.filter("token_ids", lambda t: t == "the")).alias("masked"))
@@ -448,6 +448,6 @@ def limit_by_ordinal(spark, sf):
     return first.withColumn("ordinal", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long"))
 
 
-@_query(f"SELECT sample_id, count(*) AS cells, sum(len(v)) AS numbers FROM ({cells_sql(turned=True)}) WHERE step < 2 GROUP BY 1")
+@_query(f"SELECT sample_id, count(*) AS cells, sum(len(v))::BIGINT AS numbers FROM ({cells_sql(turned=True)}) WHERE step < 2 GROUP BY 1")
 def cell_counts(spark, sf):
     return cells(spark, sf, turned=True).where("step < 2").groupBy("sample_id").agg(F.count("*").alias("cells"), F.sum(F.size("v")).alias("numbers"))
