@@ -34,6 +34,9 @@ _FOREIGN = re.compile(f"[^{''.join(re.escape(c) for c in _OWN)}]")
 WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 #: The same with a blank before them, and white space.
 BYTE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+#: White space other than blanks, and a blank within a run of white space or at the end of one that ends the text: no piece begins at it.
+_WHITE = [c for c in _OWN if c.isspace() and c != " "]
+_WITHIN_WHITE = re.compile(r" (?<=\s )(?=\s|\Z)")
 
 
 @lru_cache
@@ -100,14 +103,17 @@ class Splitter:
     def units(self, text: str) -> list[str] | None:
         """What stands between blanks, if no piece crosses them; None for texts that have to be split as a whole.
 
-        Where blanks are kept, a piece begins at each single one, so a unit and the blank
-        before it have the same pieces in any text.
+        Where blanks are kept, a piece begins at each one that doesn't stand within or at the
+        text's end after other white space, so a unit and the blank before it have the same
+        pieces in any text. Texts with such a blank, or two in a row, are split as a whole.
         """
         if self._sign and self._sign in text or _FOREIGN.search(text):
             return None
         if self.lower:
             return text.lower().split()
-        return None if "  " in text else text.split(" ")
+        if "  " in text or any(c in text for c in _WHITE) and _WITHIN_WHITE.search(text):
+            return None
+        return text.split(" ")
 
     def _plain(self, text: str) -> list[str]:
         if _FOREIGN.search(text):

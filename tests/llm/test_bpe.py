@@ -31,6 +31,15 @@ def test_the_librarys_own_ids_by_pieces():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_blanks_between_other_white_space_are_split_as_by_the_library():
+    r = random.Random(1)
+    texts = ["a \u00a0 \u00a0 b", "end \u00a0 \u00a0", "x\n \ny", "x\n ", " \n x", "\t a\r\n b"]
+    texts += ["".join(r.choice((" ", " ", "\n", "\t", "\r", "\x85", "\xa0", "a", "1", ".")) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    tokenizer = pieces.library(BYTE)
+    for text, ids, same in zip(texts, bpe.encode_texts(BYTE, texts), token_table.library_ids(BYTE, texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == same.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_is_encoded_as_by_the_library(text):
