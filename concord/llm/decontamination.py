@@ -8,6 +8,9 @@ all but LOSS of them.
 
 The masks find every such window: SEEDS is such that whichever LOSS words of WINDOW
 are substituted, some mask fits between them (tests check all placements).
+
+Shorter items have masks of their whole length: one for a place-by-place match, or,
+where a word may be substituted, three that leave out a third each.
 """
 
 from __future__ import annotations
@@ -40,16 +43,32 @@ def _seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def loss_of(size: int, short_loss: bool) -> int:
+    """Words of an item's window that may be substituted: LOSS, and in proportion in shorter items or none."""
+    return LOSS if size >= WINDOW else LOSS * size // WINDOW if short_loss else 0
+
+
+def masks_of(size: int, short_loss: bool) -> tuple[str, ...]:
+    """Masks that find an item of so many words; of a shorter one than WINDOW at most one word is substituted."""
+    if size >= WINDOW:
+        return SEEDS
+    if not loss_of(size, short_loss):
+        return ("1" * size,)
+    edges = [size * k // 3 for k in range(4)]
+    return tuple("1" * low + "0" * (high - low) + "1" * (size - high) for low, high in zip(edges[:-1], edges[1:], strict=True))
+
+
 class _Block:
     """Items of the benchmark: their words, and their seeds sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], short_loss: bool = False):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        self.masks = [*SEEDS, *sorted({"1" * len(w) for w in self.words if len(w) < WINDOW})]
+        self.short_loss = short_loss
+        self.masks = [*SEEDS, *sorted({m for w in self.words if len(w) < WINDOW for m in masks_of(len(w), short_loss)})]
         hashes, of, at = [], [], []
         for k, w in enumerate(self.words):
-            for mask in SEEDS if len(w) >= WINDOW else ["1" * len(w)]:
+            for mask in masks_of(len(w), short_loss):
                 h = _seed_hashes(w, mask)
                 hashes.append(h)
                 of.append(np.full(len(h), k, np.int32))
@@ -88,7 +107,7 @@ class _Block:
         sums = np.concatenate([[0], np.cumsum(own[low:high] == words[diagonal + low : diagonal + high])])
         within = sums[size:] - sums[:-size]
         best = int(within.argmax())
-        need = size - LOSS if len(own) >= WINDOW else size
+        need = size - loss_of(len(own), self.short_loss)
         return (int(within[best]), diagonal + low + best, low + best, int(sums[-1])) if within[best] >= need else None
 
 
@@ -97,7 +116,7 @@ def _overlaps(block: _Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     for batch in batches:
         ids, out = batch.column(0).to_pylist(), []
         for first, b, offsets in text_chunks(batch.column(1)):
-            words, at = word_hashes(b, offsets)
+            words, at = word_hashes(b, offsets, apart=True)
             text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
             best: dict[tuple[int, int], tuple] = {}
             for text, item, diagonal in zip(*block.hits(words, text_of), strict=True):
@@ -109,24 +128,24 @@ def _overlaps(block: _Block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[_Block]:
+def _blocks(benchmark: DataFrame, short_loss: bool = False) -> Iterator[_Block]:
     """The benchmark's items, row by row, in blocks of bounded size."""
     items, total = [], 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         _, b, offsets = next(text_chunks(pa.array([row.text])))
-        words = word_hashes(b, offsets)[0]
+        words = word_hashes(b, offsets, apart=True)[0]
         if len(words) < SHORTEST:
             continue
         items.append((row.item_id, words))
         total += len(words)
         if total >= BLOCK_WORDS:
-            yield _Block(items)
+            yield _Block(items, short_loss)
             items, total = [], 0
     if items:
-        yield _Block(items)
+        yield _Block(items, short_loss)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, short_loss: bool = False) -> DataFrame:
     """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that overlap.
 
     One row per doc_id and item_id: matched, the words of the best window that agree,
@@ -134,7 +153,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words that agree on its whole diagonal. An item of WINDOW words or more overlaps a
     document if some WINDOW consecutive words of it agree, place by place, with words
     of the document in all but LOSS; a shorter one, of SHORTEST words at least, if all
-    its words occur in a row.
+    its words occur in a row or, with ``short_loss``, all but LOSS * words // WINDOW: one
+    in items of 7 to 12 words. Each character of a script without blanks is a word.
 
     Null and empty texts and items overlap nothing. Rows that repeat a doc_id or an
     item_id count as one (the best window of any; then the latest place); rows with a
@@ -148,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, matched long, window long, doc_word long, item_word long, agreeing long"
     found = None
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, short_loss):
         sent = spark.sparkContext.broadcast(block)
         part = docs.mapInArrow(lambda it, sent=sent: _overlaps(sent.value, it), schema)
         found = part if found is None else found.unionByName(part)
@@ -158,6 +178,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", *(F.col(f"best.{c}").alias(c) for c in ("matched", "window", "doc_word", "item_word", "agreeing")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, short_loss: bool = False) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id has no overlap with the benchmark; null doc_ids stay."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(overlaps(docs, benchmark, short_loss).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -92,8 +92,28 @@ def _word_bytes(b: np.ndarray) -> np.ndarray:
     return word
 
 
-def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts b[offsets[i]:offsets[i + 1]], and where each text's words begin."""
+def _unspaced(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where characters of scripts without blanks begin and end, and where punctuation of East Asian width begins.
+
+    The scripts are Han, kana, bopomofo, Thai, Lao, Khmer and Myanmar.
+    """
+    lead = np.flatnonzero(b >= 0xE0)
+    lead = lead[lead + 2 < len(b)]
+    point = ((b[lead].astype(np.int32) & 15) << 12) | ((b[lead + 1].astype(np.int32) & 63) << 6) | (b[lead + 2] & 63)
+    three = b[lead] < 0xF0
+    inside = lambda *ranges: np.logical_or.reduce([(point >= low) & (point <= high) for low, high in ranges]) & three
+    signs = inside((0x3001, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+    alone = inside((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)) & ~signs
+    four = ~three & (b[lead] == 0xF0) & (b[lead + 1] >= 0xA0) & (b[lead + 1] <= 0xB3)
+    return np.concatenate([lead[alone], lead[four]]), np.concatenate([lead[alone] + 3, lead[four] + 4]), lead[signs]
+
+
+def word_hashes(b: np.ndarray, offsets: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts b[offsets[i]:offsets[i + 1]], and where each text's words begin.
+
+    With ``apart``, each character of a script that is written without blanks is a word
+    of its own, and punctuation of East Asian width belongs to none.
+    """
     n = len(b)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -102,6 +122,12 @@ def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[0] = False
     before[1:] = word
     before[offsets] = False
+    if apart and b.max() >= 0xE0:
+        first, end, signs = _unspaced(b)
+        for k in range(3):
+            word[signs + k] = False
+        before[1:] &= word
+        before[first] = before[end] = False
     starts = np.flatnonzero(word & ~before[:n])
     ends = np.flatnonzero(word & ~(np.append(word[1:], False) & before[1:])) + 1
     power, inverse = _power_tables(n)

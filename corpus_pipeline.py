@@ -22,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), short_loss=True)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,29 @@ def test_leaks_go_and_all_else_stays(table):
     assert left.columns == ["doc_id", "text", "matched"] and {r.doc_id for r in left.collect()} == {2, None, 3}
     assert d.decontaminate(docs, table([], ITEMS)).count() == 4
     assert d.overlaps(table([], DOCS), table([(0, item, None)], ITEMS)).count() == 0
+
+
+def test_short_items_lose_a_word_in_proportion(table):
+    for size in range(d.SHORTEST, d.WINDOW):
+        masks = d.masks_of(size, True)
+        assert all(any(m[i] == "0" for m in masks) for i in range(size)) or not d.loss_of(size, True)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n)), None) for n in (4, 5, 6, 7, 9, 12)]
+    docs = []
+    for n, text, _ in items:
+        for lost in range(3):
+            for at in range(n):
+                own = text.split()
+                for k in range(lost):
+                    own[(at + k * 2) % n] = "other"
+                docs.append((n * 1000 + lost * 100 + at, "so " + " ".join(own) + " it goes", None))
+    found = {(x.doc_id, x.item_id) for x in d.overlaps(table(docs, DOCS), table(items, ITEMS), short_loss=True).collect()}
+    most = {5: 0, 6: 0, 7: 1, 9: 1, 12: 1}
+    assert found == {(i, i // 1000) for i, _, _ in docs if i // 1000 in most and i % 1000 // 100 <= most[i // 1000]}
+
+
+def test_scripts_without_blanks_are_words_by_character(table):
+    item, thai = "水的沸点在标准大气压下是多少度？", "น้ำเดือดที่อุณหภูมิเท่าไร"
+    docs = [(1, f"问题：{item}答案是一百度。", None), (2, "问题：水的沸点在正常大气压下是多少度呢", None), (3, "今天天气很好，我们去公园散步吧。", None), (4, f"ถามว่า{thai}ครับ", None), (5, "東京タワーの高さは？三百三十三メートル", None)]
+    items = [(0, item, None), (1, thai, None), (2, "東京タワーの高さは？", None), (3, "水的沸点", None)]
+    found = {(x.doc_id, x.item_id) for x in d.overlaps(table(docs, DOCS), table(items, ITEMS), short_loss=True).collect()}
+    assert found == {(1, 0), (2, 0), (4, 1), (5, 2)}
