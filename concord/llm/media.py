@@ -159,6 +159,9 @@ class _Range(InputPartition):
 class MediaArchives(DataSource):
     """format("media_archives"): members of the tar archives of a folder, one partition a byte range.
 
+    Where the manifest tells where a range ends, a header before that end that is damaged,
+    zeros or cut off is read again by its offset, and fails the job after RETRIES tries.
+
     Columns: name, file, offset, error (null, or why a member could not be read in
     RETRIES tries), media (its bytes as stored), media_bytes, media_sha256, payload
     (the samples), payload_bytes, payload_sha256, tail_crc32 (of the last 32 samples),
@@ -227,6 +230,20 @@ class _MediaReader(DataSourceReader):
                 time.sleep(self.wait * (k + 1))
         return {"media": None, "samples": None, "error": error}
 
+    def _header(self, partition: _Range, at: int) -> tuple[str, int, bytes]:
+        """The header of a member that has to be at the offset, with as many tries as it needs up to RETRIES; raises after them."""
+        for k in range(RETRIES):
+            try:
+                with store.open_file(partition.file) as f:
+                    head = parse_tar_header(f.read_at(512, at))
+                if head is not None:
+                    return head
+                error = "no member where the manifest has one"
+            except (OSError, ValueError) as e:
+                error = f"{type(e).__name__}: {e}"
+            time.sleep(self.wait * (k + 1))
+        raise ValueError(f"{partition.file} at {at}: {error}")
+
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
@@ -234,9 +251,16 @@ class _MediaReader(DataSourceReader):
         with store.open_file(partition.file) as f:
             at, high = partition.low, partition.high if partition.high is not None else f.size()
             while at < high:
-                head = parse_tar_header(f.read_at(512, at))
+                try:
+                    head = parse_tar_header(f.read_at(512, at))
+                except (OSError, ValueError):
+                    if partition.high is None:
+                        raise
+                    head = None
                 if head is None:
-                    break
+                    if partition.high is None:
+                        break
+                    head = self._header(partition, at)
                 name, size, kind = head
                 if kind in (b"0", b"\0"):
                     m = {"name": name, "file": partition.file, "offset": at}

@@ -85,6 +85,25 @@ def test_a_member_is_read_again_by_its_offset(monkeypatch, tmp_path):
     assert batches[0].to_pylist() == [{"name": "1.png", "error": None, "payload_bytes": 576}] and tries == [1]
 
 
+@pytest.mark.parametrize("damage", ["zeros", "cut", "short"])
+def test_members_before_a_known_end_do_not_vanish(monkeypatch, tmp_path, damage):
+    members = []
+    for k in range(3):
+        image = media.to_png(media.padded(f"text {k}"))
+        members.append(media.tar_header(f"{k}.png", len(image)) + image + b"\0" * (-len(image) % 512))
+    whole, first = b"".join(members), len(members[0])
+    path = tmp_path / "a.tar"
+    bad = {"zeros": whole[:first] + b"\0" * 512 + whole[first + 512 :], "cut": whole[:first], "short": whole[: first + 100]}[damage]
+    path.write_bytes(bad)
+    reader = media._MediaReader({"path": f"file://{tmp_path}", "retryseconds": "0"}, media_schema())
+    part = media._Range(f"file://{path}", 0, len(whole))
+    with pytest.raises(ValueError, match=f"a.tar at {first}"):
+        list(reader.read(part))
+    # whole again at the next try
+    monkeypatch.setattr(media.time, "sleep", lambda s: path.write_bytes(whole))
+    assert [r["name"] for b in reader.read(part) for r in b.to_pylist()] == ["0.png", "1.png", "2.png"]
+
+
 def media_schema():
     from pyspark.sql.types import StructType
 
