@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.llm.components import connected_components
 from concord.llm.shared import cut, dealt_anew
@@ -278,6 +279,11 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     and stay. A null doc_id is kept and is a class's id only where no row has another.
     Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
+    return _classified(docs, n, threshold, recall).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def _classified(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """The rows of ngram_classes() with node, the key of the text's words, and component, the key of the class; both null without n-grams."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = cut(
@@ -310,7 +316,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
         .select("node", "rep", "copies", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     heads = per_node.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_node = per_node.join(dealt_anew(heads, "component"), "component").select("node", "class_id", "class_size", "n_links")
+    per_node = per_node.join(dealt_anew(heads, "component"), "component").select("node", "component", "class_id", "class_size", "n_links")
     return (
         described.select("doc_id", "node")
         .join(per_node, "node", "left")
@@ -319,10 +325,22 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1)).alias("class_size"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            "node",
+            "component",
         )
     )
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with the last column, a text, as the key of its words, null without any."""
+    for batch in batches:
+        keys = []
+        for _, b, offsets in text_chunks(batch.column(batch.num_columns - 1)):
+            words, at = word_hashes(b, offsets)
+            keys.append(pa.array(sequence_keys(words, at)[0].view(np.int64), mask=np.diff(at) == 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(keys) if keys else pa.array([], pa.int64())], batch.schema.names)
+
+
 def _with_text(grouped: DataFrame, docs: DataFrame) -> DataFrame:
     """Groups' nodes with the text of the document that stands for each; one row a node unless doc_ids repeat."""
     texts = docs.select(F.col("doc_id").alias("text_of"), "text")
@@ -333,15 +351,25 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) ->
     """``docs`` with one document of each class of ngram_classes(): that with the least doc_id.
 
     All columns are kept. Where that doc_id is on several rows of the class, they are
-    rows of one document, and the first by their text stays. Rows with a null doc_id
-    can't be told apart by it and stay, as empty texts do.
+    rows of one document, and the first by their text stays. A doc_id on rows of
+    several classes is a document of each of them. Rows with a null doc_id can't be told
+    apart by it and stay, as empty texts do.
     """
-    classes = ngram_classes(docs, n, threshold)
-    gone = classes.where("doc_id IS NOT NULL AND doc_id <> class_id").select("doc_id").distinct()
-    again = classes.where("doc_id = class_id AND class_size > 1").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    classes = _classified(docs, n, threshold, 0.999)
+    unsure = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("class_id")).alias("gone"))
+    gone = unsure.where("rows = 1 AND gone").select("doc_id")
+    again = unsure.where("rows > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     if again.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy("text")
-    single = kept.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return kept.join(again, "doc_id", "left_anti").unionByName(single)
+    # rows of one doc_id are told apart by the key of their words
+    repeated = kept.join(again, "doc_id", "left_semi").withColumn("__node", F.col("text").cast("string"))
+    fields = T.StructType([*repeated.schema.fields[:-1], T.StructField("__node", T.LongType())])
+    keyed = repeated.mapInArrow(_nodes, fields)
+    of = classes.join(again, "doc_id", "left_semi").where("node IS NOT NULL").select("doc_id", F.col("node").alias("__node"), F.col("component").alias("__class"), (F.col("doc_id") != F.col("class_id")).alias("__gone")).distinct()
+    known = keyed.where("__node IS NOT NULL").join(of, ["doc_id", "__node"]).where("NOT __gone")
+    order = Window.partitionBy("doc_id", "__class").orderBy("text")
+    first = known.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    names = docs.columns
+    single = keyed.where("__node IS NULL").select(*names).unionByName(first.select(*names))
+    return kept.join(again, "doc_id", "left_anti").select(*names).unionByName(single)

@@ -80,6 +80,14 @@ def test_nulls_empties_and_repeats(table):
     assert ngram_join.ngram_classes(table([], DOCS)).count() == 0 and ngram_join.drop_near_duplicates(table([], DOCS)).count() == 0
 
 
+def test_a_doc_id_of_two_classes_keeps_a_row_of_each(table):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, near, "a"), (5, near + " end", "b"), (5, "something else that is nowhere but here", "c"), (6, near, "d"), (7, " .", "e"), (7, " .", "f"), (8, "eight is here twice as it is", "g"), (8, "Eight is here twice as it is", "h")]
+    kept = ngram_join.drop_near_duplicates(table(rows, DOCS))
+    assert kept.columns == ["doc_id", "text", "node"]
+    assert sorted(r.node for r in kept.collect()) == ["a", "c", "e", "f", "h"]
+
+
 def test_bands_reach_the_recall():
     for s, recall in ((0.8, 0.999), (0.5, 0.9), (0.9, 0.99)):
         b, r = ngram_join.choose_bands(s, recall)
