@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import cut, dealt_anew
+from concord.llm.shared import cut, dealt_anew, remove
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     if not state[0]:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
-        pairs = cut(_small_star(_large_star(pairs)), "links")
+        before, pairs = pairs, cut(_small_star(_large_star(pairs)), "links")
+        remove(before)
         now = _state(pairs)
         if now == state:
             break

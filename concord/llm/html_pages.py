@@ -1,7 +1,8 @@
 """Made pages with known main text, from which the extraction model is learned.
 
 Names of classes and ids are drawn from lists of common ones. MARK before a word says
-that it belongs to the article.
+that it belongs to the article. Some pages have faults that are common on the web:
+paragraphs and bold words that are not closed, articles without a container, no body.
 """
 
 from __future__ import annotations
@@ -85,6 +86,8 @@ class _Page:
         if kind == "aside":
             inner = r.choice(("", f"<h3>{self.words(1, 4)}</h3>")) + r.choice((self.links(3, 8), "".join(f"<p>{self.words(8, 40)}</p>" for _ in range(r.randint(1, 3))), self.links(2, 4) + self.sentence()))
             return self.tag(kind, inner, ("aside", "div", "section"), 1)
+        if kind == "notice" and r.random() < 0.15:
+            return f"<noscript>{self.sentence()}</noscript>"
         if kind in ("ad", "notice"):
             inner = self.sentence() + r.choice(("", f'<a href="#">{self.words(1, 3)}</a>', f"<button>{self.words(1, 2)}</button>", f"<p>{self.words(5, 40)}</p>"))
             return self.tag(kind, inner, ("div", "div", "section", "p", "aside") if kind == "notice" else ("div", "div", "aside", "ins"), 1)
@@ -106,6 +109,8 @@ class _Page:
             s += f' <a href="/{self.word()}">{self.words(1, 4, True)}</a> {self.words(1, 15, True)}'
         elif form < 0.4:
             s += f"<br>{self.words(2, 20, True)}"
+        elif form < 0.45:
+            s += f" <math><mi>{self.words(1, 1, True)}</mi><mo>{MARK}=</mo><mrow>{self.words(1, 3, True)}</mrow></math> {self.words(1, 8, True)}"
         return s
 
     def part(self) -> str:
@@ -126,7 +131,11 @@ class _Page:
             return f"<blockquote>{self.inline(5, 40)}</blockquote>"
         if form < 0.92:
             return f"<pre>{self.words(4, 30, True)}</pre>"
-        if form < 0.96:
+        if form < 0.945:
+            return f"<object data='/{self.word()}'>{self.inline(3, 20)}</object>"
+        if form < 0.955:
+            return f"<math>{''.join(f'<mi>{self.words(1, 2, True)}</mi>' for _ in range(r.randint(1, 4)))}</math>"
+        if form < 0.975:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.words(1, 4, True)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>"
         return f"<div>{self.inline(10, 60)}</div>"
 
@@ -139,8 +148,9 @@ class _Page:
             parts.append(self.boilerplate("comments"))
         body = "".join(parts)
         form = r.random()
-        body = f"<article>{body}</article>" if form < 0.45 else f"<main>{body}</main>" if form < 0.6 else self.tag("main", body, ("div", "div", "section", "article"), 1)
-        if r.random() < 0.3:
+        bare = r.random() < 0.1  # the article's parts stand among everything else
+        body = body if bare else f"<article>{body}</article>" if form < 0.45 else f"<main>{body}</main>" if form < 0.6 else self.tag("main", body, ("div", "div", "section", "article"), 1)
+        if not bare and r.random() < 0.3:
             body = f"<main>{body}</main>" if not body.startswith("<main") else f"<div>{body}</div>"
         before = [self.boilerplate(k) for k in ("header", "nav", "ad", "notice", "form", "aside") if r.random() < 0.45]
         after = [self.boilerplate(k) for k in ("comments", "aside", "share", "ad", "notice", "form", "nav", "footer") if r.random() < (0.8 if k == "footer" else 0.35)]
@@ -148,6 +158,8 @@ class _Page:
         page = "".join(before) + body + "".join(after)
         for _ in range(r.choice((0, 0, 1, 2))):
             page = f'<div class="{self.name("neutral")}">{page}</div>'
+        if r.random() < 0.05:
+            return page
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{page}</body></html>"
 
 

@@ -13,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from concord.llm import gbt
 from concord.llm.dom import Node, name_tokens, parse
 from concord.llm.html_pages import MARK, marked_page
+from concord.llm.shared import free_name
 
 #: Made pages that the model is learned from.
-PAGES = 800
+PAGES = 1200
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIGNS = re.compile(r"[.,;:!?]")
 _FLAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "a", "li", "table")
@@ -40,13 +41,17 @@ class Model:
     names: dict[str, float]
     trees: gbt.Trees | None = None
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.names), default=0)
+
     def name_score(self, tokens: list[str]) -> tuple[float, float]:
         """Least and largest log-odds of the tokens; of an unknown one, those of the longest known one that it begins with."""
         low = high = 0.0
         for t in tokens:
             v = self.names.get(t)
             if v is None:
-                v = next((self.names[t[:k]] for k in range(len(t) - 1, 3, -1) if t[:k] in self.names), 0.0)
+                v = next((self.names[t[:k]] for k in range(min(len(t) - 1, self.longest), 3, -1) if t[:k] in self.names), 0.0)
             low, high = min(low, v), max(high, v)
         return low, high
 
@@ -234,6 +239,7 @@ def with_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or default_model()
     sent = pages.sparkSession.sparkContext.broadcast(model)
-    fed = pages.drop("main_text").withColumn("__html", F.col("html").cast("string"))
+    name = free_name(pages, "html_in")
+    fed = pages.drop("main_text").withColumn(name, F.col("html").cast("string"))
     out = T.StructType([*fed.schema.fields, T.StructField("main_text", T.StringType())])
-    return fed.mapInArrow(lambda it: _extract(sent.value, it), out).drop("__html")
+    return fed.mapInArrow(lambda it: _extract(sent.value, it), out).drop(name)

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path for ``purpose`` below ``spark.checkpoint.dir``.
 
-    Where the session names no such folder (local tests), one is made and set.
+    Where the session names no such folder, one is made and set on a local master; on a
+    cluster that is an error, as executors don't share the driver's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="concord-")
             spark.sparkContext.setCheckpointDir(base)
@@ -35,7 +38,26 @@ def cut(df: DataFrame, purpose: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote and of which nothing is read any more."""
+    spark, written = df.sparkSession, vars(df).get("written")
+    if written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
