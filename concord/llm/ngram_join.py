@@ -1,20 +1,26 @@
 """N-gram Jaccard self-join of documents: MinHash banding, then verification on full n-gram sets.
 
-1. Each text gives a key of its word sequence, one byte of each MinHash value, and
-   band hashes. Texts of one key are copies: they stay one node with a count.
-2. Nodes that share a band hash meet. A bucket of any size is cut into blocks, and a
-   task gets two blocks; it compares all their signatures and hands on a spanning
-   forest of the pairs that may reach the threshold, never the pairs themselves.
-3. Components of that forest are the groups within which sets are compared. The full
-   n-gram sets of a group meet in pairs of blocks; every pair is verified once, and
-   each task returns counts of links and a spanning forest of verified links.
-4. Components of verified links are the classes.
+1. Each text gives two keys of its word sequence and the band hashes of its MinHash
+   values. Texts of the same keys are copies: they are one node with a count.
+2. Nodes that share a band hash meet in a bucket. A node's label is the least node of all
+   its buckets, and nodes of one label are a block, cut into several where they are many.
+   Two blocks are compared only if some bucket has nodes of both, and every pair of
+   blocks once, however many buckets they share.
+3. The n-gram sets are shuffled once, to their block. The task of a block compares all of
+   it, hands on counts of links and a spanning forest, and, if other blocks have to be
+   compared with it, leaves its sets in the shared folder, from where their task reads
+   them: what is shuffled is a multiple of the sets, whatever the size of a group.
+4. Components of the forests' links are the classes.
+
+Every pair that shares a bucket is verified on its full sets, as is any other pair of the
+compared blocks, so the recall is at least that of the bands.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.llm import store
 from concord.llm.components import connected_components
-from concord.llm.shared import cut, dealt_anew
-from concord.llm.words import binary, mix, ragged_binary, sequence_keys, shingles, text_chunks, word_hashes
+from concord.llm.shared import cut, dealt_anew, free_name, shared_dir
+from concord.llm.words import mix, ragged_binary, sequence_keys, shingles, text_chunks, word_hashes
 
-#: Members of a block; a task holds two blocks.
-BLOCK = 512
-#: Standard errors of the signature's estimate by which a pair may miss the threshold and still be verified.
-MARGIN = 5.0
+#: Nodes of a block, and n-grams of all of them, to be expected at most.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Bytes up to which a block goes with the pairs that it is in; a larger one is read from the shared folder.
+INLINE = 1 << 14
 
 
 def choose_bands(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -66,12 +73,12 @@ def minhashes(grams: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _describe(n: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(n: int, bands: int, rows: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = batch.column(0), batch.column(1)
         for first, b, offsets in text_chunks(column):
             words, at = word_hashes(b, offsets)
-            node, _ = sequence_keys(words, at)
+            key, twin = _keys(words, at, bits)
             grams, grams_at = shingles(words, at, n)
             low = minhashes(grams, grams_at, bands * rows)
             count = len(at) - 1
@@ -86,33 +93,33 @@ def _describe(n: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch])
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, count),
-                    pa.array(node.view(np.int64), mask=~has),
-                    binary((low & np.uint32(0xFF)).astype(np.uint8)),
+                    pa.array(key, mask=~has),
+                    pa.array(twin, mask=~has),
+                    pa.array(np.diff(grams_at).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(hashes[has].reshape(-1).view(np.int64))),
                 ],
-                ["doc_id", "node", "signature", "bands"],
+                ["doc_id", "key", "twin", "weight", "bands"],
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Runs of whole groups of rows sorted by the first ``keys`` columns, and where each group begins."""
-    rest = None
+def _keys(words: np.ndarray, at: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each text's words, of which the first has so many bits; fewer than 64 are for tests of what happens where keys agree by chance."""
+    key, twin = sequence_keys(words, at)
+    return (key >> np.uint64(64 - bits)).view(np.int64), twin.view(np.int64)
+
+
+def _with_keys(names: list[str], bits: int, drop: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with both keys of the last column, a text; null without words. ``drop``: without such rows."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        values = [t.column(k).to_numpy() for k in range(keys)]
-        new = np.zeros(t.num_rows, bool)
-        new[0] = True
-        for v in values:
-            new[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(new)
-        if len(starts) > 1:
-            yield t.slice(0, starts[-1]), starts
-        rest = t.slice(starts[-1])
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+        keys, twins = [], []
+        for _, b, offsets in text_chunks(batch.column(batch.num_columns - 1)):
+            words, at = word_hashes(b, offsets)
+            empty = np.diff(at) == 0
+            for out, x in zip((keys, twins), _keys(words, at, bits), strict=True):
+                out.append(pa.array(x, mask=empty))
+        none = [pa.array([], pa.int64())]
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(keys or none), pa.concat_arrays(twins or none)], [*batch.schema.names, *names])
+        yield out.filter(out.column(names[0]).is_valid()) if drop else out
 
 
 def forest(near: np.ndarray) -> np.ndarray:
@@ -128,64 +135,16 @@ def forest(near: np.ndarray) -> np.ndarray:
         labels = least
 
 
-def _likely(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, starts in _groups(batches, 3):
-        node = t.column("node").to_numpy()
-        signature = np.stack([np.frombuffer(x, np.uint8) for x in t.column("signature").to_pylist()])
-        sizes = np.diff(starts)
-        k = signature.shape[1]
-        least = k * (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / k))
-        us, vs = [], []
-        for size in np.unique(sizes):
-            if size < 2:
-                continue
-            at = starts[:-1][sizes == size]
-            step = max(1, 4_000_000 // (int(size) * int(size) * (k if size <= 64 else 1)))
-            for i in range(0, len(at), step):
-                rows = at[i : i + step, None] + np.arange(size)
-                s = signature[rows]
-                if size == 2:
-                    good = (s[:, 0] == s[:, 1]).sum(axis=1) >= least
-                    us.append(node[rows[good, 1]])
-                    vs.append(node[rows[good, 0]])
-                    continue
-                if size <= 64:
-                    near = (s[:, :, None, :] == s[:, None, :, :]).sum(axis=3) >= least
-                else:
-                    near = np.stack([[(one == row).sum(axis=1) >= least for row in one] for one in s])
-                labels = forest(near)
-                apart = labels != np.arange(size)
-                us.append(node[rows[apart]])
-                vs.append(node[np.take_along_axis(rows, labels, 1)[apart]])
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            _, once = np.unique(np.stack([u, v]), axis=1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u[once]), pa.array(v[once])], ["u", "v"])
-
-
-def _blocks(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Each row once for every pair of blocks of its group that its own block is in."""
-    count = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    df = df.withColumn("own", F.pmod(F.xxhash64("node", key), count).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return df.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
-
-
 def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct n-gram hashes of each text that is its node's; others of a repeated doc_id go."""
+    """The batches with the last column, a text, as its sorted distinct n-gram hashes."""
     for batch in batches:
-        node_column = batch.column(0).to_numpy(zero_copy_only=False)
         for first, b, offsets in text_chunks(batch.column(batch.num_columns - 1)):
             words, at = word_hashes(b, offsets)
-            node = sequence_keys(words, at)[0].view(np.int64)
             grams, grams_at = shingles(words, at, n)
-            mine = np.flatnonzero(node == node_column[first : first + len(node)])
-            sets = [np.unique(grams[grams_at[i] : grams_at[i + 1]]) for i in mine]
-            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            picked = pa.array(first + mine)
-            columns = [batch.column(j).take(picked) for j in range(batch.num_columns - 1)]
+            sets = [np.unique(grams[i:j]) for i, j in zip(grams_at[:-1], grams_at[1:], strict=True)]
+            columns = [batch.column(j).slice(first, len(sets)) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, ragged_binary(values, np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))],
+                [*columns, ragged_binary(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64))],
                 [*batch.schema.names[:-1], "grams"],
             )
 
@@ -223,45 +182,117 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, starts in _groups(batches, 3):
-        node, copies, own = (t.column(c).to_numpy() for c in ("node", "copies", "own"))
-        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-        grams = t.column("grams")
-        us, vs, ws = [], [], []
-        for a, z in zip(starts[:-1], starts[1:], strict=True):
-            rows = np.arange(a, z)
-            _, once = np.unique(node[rows], return_index=True)  # a repeated row is no second text
-            rows = rows[once]
-            if low[a] == high[a]:
-                left = right = rows
+def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    same = common(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return same >= threshold * (sizes - same) - 1e-9
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list, list]]:
+    """(block, partners, nodes, copies, sets) of each run of rows of a block; a node that rows repeat is one."""
+    held = None
+    for batch in batches:
+        grams = batch.column(4)
+        for i, (block, partners, node, copies) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            if held is None or held[0] != block:
+                if held is not None:
+                    yield held
+                held = (block, partners, [], [], [])
+            if not held[2] or held[2][-1] != node:
+                held[2].append(node)
+                held[3].append(copies)
+                held[4].append(np.frombuffer(grams[i].as_py(), np.uint64))
+    if held is not None:
+        yield held
+
+
+def _pack(nodes: np.ndarray, copies: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    head = np.concatenate([[len(nodes)], nodes, copies, labels, [len(x) for x in sets]]).astype("<i8")
+    return head.tobytes() + np.concatenate(sets).astype("<u8").tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    m = int(np.frombuffer(data, "<i8", 1)[0])
+    nodes, copies, labels, sizes = np.frombuffer(data, "<i8", 4 * m, 8).reshape(4, m)
+    return nodes, copies, labels, np.split(np.frombuffer(data, "<u8", -1, 8 * (4 * m + 1)), np.cumsum(sizes)[:-1])
+
+
+_FOUND = "u long, v long, links long"
+_STORED = "block long, file string, at long, size long, data binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _within(threshold: float, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the nodes of each block, and for blocks with partners where their sets are."""
+    file = stream = None
+    at, out = 0, []
+    for block, partners, nodes, copies, sets in _blocks(batches):
+        nodes, copies = np.array(nodes), np.array(copies)
+        labels = np.zeros(len(nodes), np.int64)
+        if len(nodes) > 1:
+            linked = _linked(sets, sets, threshold)
+            np.fill_diagonal(linked, False)
+            labels = forest(linked[None])[0].astype(np.int64)
+            count = linked.astype(np.int64) @ copies
+            some, apart = np.flatnonzero(count), np.flatnonzero(labels != np.arange(len(nodes)))
+            out += [(u, -1, w, None, None, None, None, None) for u, w in zip(nodes[some].tolist(), count[some].tolist(), strict=True)]
+            out += [(u, v, 0, None, None, None, None, None) for u, v in zip(nodes[apart].tolist(), nodes[labels[apart]].tolist(), strict=True)]
+        if partners:
+            data = _pack(nodes, copies, labels, sets)
+            if len(data) <= INLINE:
+                out.append((None, None, None, block, None, 0, len(data), data))
             else:
-                left, right = rows[own[rows] == low[a]], rows[own[rows] == high[a]]
-            if not len(left) or not len(right) or (left is right and len(left) < 2):
+                if stream is None:
+                    file = store.new_file(folder, ".sets")
+                    stream = store.create(file)
+                stream.write(data)
+                out.append((None, None, None, block, file, at, len(data), None))
+                at += len(data)
+        if len(out) > 10_000:
+            yield _batch(out, f"{_FOUND}, {_STORED}")
+            out = []
+    if stream is not None:
+        stream.close()
+    if out:
+        yield _batch(out, f"{_FOUND}, {_STORED}")
+
+
+def _across(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the nodes of two blocks: rows with file, at, size and data of either."""
+
+    @lru_cache(2)
+    def stored(file: str, at: int, size: int) -> tuple:
+        with store.open_file(file) as f:
+            return _unpack(f.read_at(size, at))
+
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            sides = [_unpack(r[f"{s}_data"]) if r[f"{s}_data"] is not None else stored(r[f"{s}_file"], r[f"{s}_at"], r[f"{s}_size"]) for s in "ab"]
+            (left, left_copies, left_labels, left_sets), (right, right_copies, right_labels, right_sets) = sides
+            linked = _linked(left_sets, right_sets, threshold)
+            if not linked.any():
                 continue
-            sets = {i: np.frombuffer(grams[i].as_py(), np.uint64) for i in rows.tolist()}
-            first, second = [sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()]
-            same = common(first, second)
-            sizes = np.array([len(s) for s in first])[:, None] + np.array([len(s) for s in second])[None, :]
-            linked = same >= threshold * (sizes - same) - 1e-9
-            if left is right:
-                np.fill_diagonal(linked, False)
-            for one, other, m in ((left, right, linked), (right, left, linked.T)) if left is not right else ((left, right, linked),):
-                count = m.astype(np.int64) @ copies[other]
+            for nodes, count in ((left, linked.astype(np.int64) @ right_copies), (right, linked.T.astype(np.int64) @ left_copies)):
                 some = np.flatnonzero(count)
-                us.append(node[one[some]])
-                vs.append(np.full(len(some), -1))
-                ws.append(count[some])
-            every = left if left is right else np.concatenate([left, right])
-            square = np.zeros((1, len(every), len(every)), bool)
-            square[0, : len(left), -len(right) :] = linked
+                out += [(u, -1, w) for u, w in zip(nodes[some].tolist(), count[some].tolist(), strict=True)]
+            # of nodes that are connected within a block, one stands for all
+            (one, i), (other, j) = (np.unique(x, return_inverse=True) for x in (left_labels, right_labels))
+            square = np.zeros((1, len(one) + len(other), len(one) + len(other)), bool)
+            x, y = np.nonzero(linked)
+            square[0, i[x], len(one) + j[y]] = True
+            ends = np.concatenate([left[one], right[other]])
             labels = forest(square)[0]
-            apart = np.flatnonzero(labels != np.arange(len(every)))
-            us.append(node[every[apart]])
-            vs.append(node[every[labels[apart]]])
-            ws.append(np.zeros(len(apart), np.int64))
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (us, vs, ws)], ["u", "v", "links"])
+            apart = np.flatnonzero(labels != np.arange(len(ends)))
+            out += [(u, v, 0) for u, v in zip(ends[apart].tolist(), ends[labels[apart]].tolist(), strict=True)]
+        if out:
+            yield _batch(out, _FOUND)
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -282,32 +313,77 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     return _classified(docs, n, threshold, recall).select("doc_id", "class_id", "class_size", "n_links")
 
 
-def _classified(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """The rows of ngram_classes() with node, the key of the text's words, and component, the key of the class; both null without n-grams."""
+def _described(docs: DataFrame, n: int, bands: int, rows: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their node, nodes): a node is one sequence of words, known by both of its keys."""
+    schema = "doc_id long, key long, twin long, weight long, bands array<long>"
+    described = cut(docs.mapInArrow(lambda it: _describe(n, bands, rows, bits, it), schema).withColumn("node", F.col("key")), "described")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        parts = [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("key").alias("key"), F.min("twin").alias("twin"), F.max("twin").alias("other"), F.max("weight").alias("weight"), F.min("bands").alias("bands")]
+        return cut(df.where("node IS NOT NULL").groupBy("node").agg(*parts), "nodes")
+
+    nodes = grouped(described)
+    clash = nodes.where("twin <> other").select("node", F.col("twin").alias("first"))
+    if not clash.isEmpty():  # different words of one first key: all but one get a node of both keys
+        apart = F.when(F.col("twin") != F.col("first"), F.xxhash64("key", "twin")).otherwise(F.col("node"))
+        described = cut(described.join(dealt_anew(clash, "node"), "node", "left").withColumn("node", apart).drop("first"), "described")
+        nodes = grouped(described)
+        if not nodes.where("twin <> other").isEmpty():
+            raise RuntimeError("the keys of different texts agree")
+    return described, nodes
+
+
+def _in_blocks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, block) of the nodes that share a bucket, (a, b): the pairs of blocks that share one)."""
+    met = nodes.select("node", F.explode("bands").alias("band"))
+    shared = met.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1").select("band", "least")
+    met = cut(met.join(dealt_anew(shared, "band"), "band"), "buckets")
+    labelled = cut(met.groupBy("node").agg(F.min("least").alias("label")).join(nodes.select("node", "weight"), "node"), "labels")
+    sizes = labelled.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("weight") / F.lit(BLOCK_GRAMS))).alias("parts"))
+    own = F.when(F.col("parts") <= 1, F.col("label")).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node", "label"), F.col("parts"))))
+    blocks = cut(labelled.join(dealt_anew(sizes, "label"), "label").select("node", own.alias("block")), "blocks")
+    seen = met.select("node", "band").join(blocks, "node").select("band", "block").distinct()
+    several = seen.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    seen = cut(seen.join(dealt_anew(several, "band"), "band"), "met")
+    pairs = seen.withColumnRenamed("block", "a").join(seen.select(F.col("band").bitwiseXOR(F.lit(0).cast("long")).alias("band"), F.col("block").alias("b")), "band")
+    return blocks, cut(pairs.where("a < b").select("a", "b").distinct(), "pairs")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float, bits: int) -> DataFrame:
+    """(u, v, links): counts of links of node u where v is -1, and with links 0 a forest of linked nodes."""
+    spark = docs.sparkSession
+    blocks, pairs = _in_blocks(nodes)
+    ends = pairs.select(F.col("a").alias("block")).unionByName(pairs.select(F.col("b").alias("block"))).groupBy("block").agg(F.count("*").alias("partners"))
+    wanted = blocks.join(dealt_anew(ends, "block"), "block", "left").join(nodes.select("node", "rep", "copies", "key", "twin"), "node")
+    # the text of a node is that of a row with its least doc_id and both of its keys
+    named = docs.withColumnRenamed("doc_id", "text_of")
+    keyed = named.mapInArrow(lambda it: _with_keys(["key", "twin"], bits, True, it), "text_of long, text string, key long, twin long")
+    wanted = wanted.select("block", F.coalesce("partners", F.lit(0).cast("long")).alias("partners"), "node", "copies", "rep", F.col("key").alias("own_key"), F.col("twin").alias("own_twin"))
+    same = (F.col("key") == F.col("own_key")) & (F.col("twin") == F.col("own_twin")) & F.col("rep").eqNullSafe(F.col("text_of"))
+    texts = wanted.join(keyed, same).select("block", "partners", "node", "copies", "text")
+    sets = texts.mapInArrow(lambda it: _sets(n, it), "block long, partners long, node long, copies long, grams binary")
+    folder = shared_dir(spark, "sets")
+    dealt = sets.repartition("block").sortWithinPartitions("block", "node")
+    found = cut(dealt.mapInArrow(lambda it: _within(threshold, folder, it), f"{_FOUND}, {_STORED}"), "within")
+    links = found.where("u IS NOT NULL").select("u", "v", "links")
+    count = pairs.count()
+    if not count:
+        return links
+    stored = found.where("block IS NOT NULL")
+    side = lambda s: stored.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("file", "at", "size", "data")))
+    # comparing takes far longer than moving, so tasks are made by the number of pairs, not by their bytes
+    tasks = min(max(spark.sparkContext.defaultParallelism, count // 64), 50_000)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", F.pmod(F.xxhash64("b"), F.lit(16))).sortWithinPartitions("a_file", "a_at", "a", "b")
+    return links.unionByName(cut(both.mapInArrow(lambda it: _across(threshold, it), _FOUND), "across"))
+
+
+def _classified(docs: DataFrame, n: int, threshold: float, recall: float, bits: int = 64) -> DataFrame:
+    """The rows of ngram_classes() with node, the text's words, and head, the node that stands for the class; both null without n-grams."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = cut(
-        docs.mapInArrow(lambda it: _describe(n, bands, rows, it), "doc_id long, node long, signature binary, bands array<long>"), "described"
-    )
-    nodes = cut(
-        described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("signature").alias("signature"), F.min("bands").alias("bands")),
-        "nodes",
-    )
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = met.join(dealt_anew(shared, "band"), "band").join(nodes.select("node", "signature"), "node")
-    task = ["band", "low", "high"]
-    dealt = _blocks(members, "band", "members").select(*task, "node", "signature").repartition(*task).sortWithinPartitions(*task)
-    near = connected_components(dealt.mapInArrow(lambda it: _likely(threshold, it), "u long, v long"))
-    near = cut(near, "near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = near.join(dealt_anew(sizes, "component"), "component").join(nodes.select("node", "rep", "copies"), "node")
-    texts = _with_text(grouped, docs)
-    sets = texts.mapInArrow(lambda it: _sets(n, it), "node long, component long, size long, copies long, grams binary")
-    task = ["component", "low", "high"]
-    dealt = _blocks(sets, "component", "size").select(*task, "node", "copies", "own", "grams").repartition(*task).sortWithinPartitions(*task)
-    found = cut(dealt.mapInArrow(lambda it: _verify(threshold, it), "u long, v long, links long"), "verified")
-    links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    described, nodes = _described(docs, n, bands, rows, bits)
+    found = _links(docs, nodes, n, threshold, bits)
+    links = found.where("v = -1 AND links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("links = 0").select("u", "v"))
     per_node = (
         nodes.select("node", "rep", "copies")
@@ -315,10 +391,12 @@ def _classified(docs: DataFrame, n: int, threshold: float, recall: float) -> Dat
         .join(links, "node", "left")
         .select("node", "rep", "copies", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    heads = per_node.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_node = per_node.join(dealt_anew(heads, "component"), "component").select("node", "component", "class_id", "class_size", "n_links")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    heads = per_node.groupBy("component").agg(first.alias("first"), F.sum("copies").alias("class_size"))
+    heads = heads.select("component", F.col("first.rep").alias("class_id"), F.col("first.node").alias("head"), "class_size")
+    per_node = per_node.join(dealt_anew(heads, "component"), "component").select("node", "head", "class_id", "class_size", "n_links")
     return (
-        described.select("doc_id", "node")
+        described.select("doc_id", "node", "key", "twin")
         .join(per_node, "node", "left")
         .select(
             "doc_id",
@@ -326,50 +404,42 @@ def _classified(docs: DataFrame, n: int, threshold: float, recall: float) -> Dat
             F.coalesce("class_size", F.lit(1)).alias("class_size"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             "node",
-            "component",
+            "head",
+            "key",
+            "twin",
         )
     )
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with the last column, a text, as the key of its words, null without any."""
-    for batch in batches:
-        keys = []
-        for _, b, offsets in text_chunks(batch.column(batch.num_columns - 1)):
-            words, at = word_hashes(b, offsets)
-            keys.append(pa.array(sequence_keys(words, at)[0].view(np.int64), mask=np.diff(at) == 0))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(keys) if keys else pa.array([], pa.int64())], batch.schema.names)
-
-
-def _with_text(grouped: DataFrame, docs: DataFrame) -> DataFrame:
-    """Groups' nodes with the text of the document that stands for each; one row a node unless doc_ids repeat."""
-    texts = docs.select(F.col("doc_id").alias("text_of"), "text")
-    return grouped.join(texts, F.col("rep").eqNullSafe(F.col("text_of"))).select("node", "component", "size", "copies", "text")
-
-
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class of ngram_classes(): that with the least doc_id.
 
-    All columns are kept. Where that doc_id is on several rows of the class, they are
-    rows of one document, and the first by their text stays. A doc_id on rows of
-    several classes is a document of each of them. Rows with a null doc_id can't be told
-    apart by it and stay, as empty texts do.
+    All columns are kept, whatever their names. Where that doc_id is on several rows of
+    the class, the first of them by words and text stays. A doc_id on rows of several
+    classes is a document of each of them. A row with a null doc_id stays only where its
+    class has no other id. Rows without a letter or digit have no class and stay.
     """
-    classes = _classified(docs, n, threshold, 0.999)
-    unsure = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("class_id")).alias("gone"))
-    gone = unsure.where("rows = 1 AND gone").select("doc_id")
-    again = unsure.where("rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept
-    # rows of one doc_id are told apart by the key of their words
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("__node", F.col("text").cast("string"))
-    fields = T.StructType([*repeated.schema.fields[:-1], T.StructField("__node", T.LongType())])
-    keyed = repeated.mapInArrow(_nodes, fields)
-    of = classes.join(again, "doc_id", "left_semi").where("node IS NOT NULL").select("doc_id", F.col("node").alias("__node"), F.col("component").alias("__class"), (F.col("doc_id") != F.col("class_id")).alias("__gone")).distinct()
-    known = keyed.where("__node IS NOT NULL").join(of, ["doc_id", "__node"]).where("NOT __gone")
-    order = Window.partitionBy("doc_id", "__class").orderBy("text")
-    first = known.withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    names = docs.columns
-    single = keyed.where("__node IS NULL").select(*names).unionByName(first.select(*names))
-    return kept.join(again, "doc_id", "left_anti").select(*names).unionByName(single)
+    classes = cut(_classified(docs, n, threshold, 0.999), "classes")
+    stays = F.col("node").isNull() | ((F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    counted = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays).alias("kept"))
+    gone, again = counted.where("rows = 1 AND NOT kept").select("doc_id"), counted.where("rows > 1").select("doc_id")
+    own, other, text, key, twin, row = (free_name(docs, x) for x in ("own_id", "other_id", "text", "key", "twin", "row"))
+    named = docs.withColumn(own, F.col("doc_id").cast("long"))
+    known = named.where(F.col(own).isNotNull())
+    ids = lambda x: dealt_anew(x, "doc_id").withColumnRenamed("doc_id", other)
+    match = F.col(own) == F.col(other)
+    once = known.join(ids(gone), match, "left_anti").join(ids(again), match, "left_anti").drop(own)
+    unsure = named.where(F.col(own).isNull()).unionByName(known.join(ids(again), match, "left_semi"))
+    if unsure.isEmpty():
+        return once
+    # rows of one doc_id, or of none, are told apart by the keys of their words
+    unsure = unsure.withColumn(text, F.col("text").cast("string"))
+    fields = T.StructType([*unsure.schema.fields, T.StructField(key, T.LongType()), T.StructField(twin, T.LongType())])
+    keyed = unsure.mapInArrow(lambda it: _with_keys([key, twin], 64, False, it), fields)
+    of = [free_name(docs, f"{x}_of") for x in ("id", "key", "twin")]
+    kept = classes.where(F.col("node").isNotNull() & stays).select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "key", "twin"), of, strict=True))).distinct()
+    same = F.col(own).eqNullSafe(F.col(of[0])) & (F.col(key) == F.col(of[1])) & (F.col(twin) == F.col(of[2]))
+    order = Window.partitionBy(own, key, twin).orderBy("text")
+    first = keyed.join(kept, same, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return once.unionByName(keyed.where(F.col(key).isNull()).select(*names)).unionByName(first.select(*names))

@@ -56,13 +56,57 @@ def test_classes_and_links_are_those_of_brute_force(table, seed):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _brute(rows) and len(got) == len(rows)
 
 
-def test_blocks_of_large_groups_give_the_same(table, monkeypatch):
+@pytest.mark.parametrize("grams", [1 << 20, 200])
+def test_blocks_of_large_groups_give_the_same(table, monkeypatch, grams):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
     rows = _corpus(5, 12)
     got = ngram_join.ngram_classes(table(rows, DOCS)).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _brute(rows)
 
 
+def test_texts_of_one_first_key_are_told_apart_by_the_second(table):
+    rows = _corpus(6, 10)
+    docs = table(rows, DOCS).select("doc_id", "text")
+    got = ngram_join._classified(docs, 5, 0.8, 0.999, bits=4).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _brute(rows)
+
+
+def test_null_doc_ids_do_not_meet_each_other(table):
+    rows = [(None, f"text {i} has words of its own {i} {i * i}", "x") for i in range(150)] + [(None, "the same words again and again", "x")] * 50
+    got = ngram_join.ngram_classes(table(rows, DOCS)).collect()
+    assert len(got) == 200 and sorted(r.n_links for r in got) == [0] * 150 + [49] * 50
+    assert ngram_join.drop_near_duplicates(table(rows, DOCS)).count() == 151
+
+
+def test_a_group_of_many_near_copies_is_shuffled_a_few_times(table, monkeypatch):
+    """Blocks are compared in pairs, but their sets are moved once: rows handed to the tasks of pairs hold no sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(4):
+            w[r.randrange(300)] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(w), None))
+    handed = []
+    docs = table(rows, DOCS).select("doc_id", "text")
+    seen = ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, purpose: handed.append((purpose, seen(df, purpose))) or handed[-1][1])
+    got = ngram_join.ngram_classes(docs).collect()
+    assert {x.class_id for x in got} == {0} and len(got) == 1500
+    tables = dict(handed)
+    stored = tables["within"].where("block IS NOT NULL")
+    assert stored.count() >= 20 and stored.where(f"data IS NOT NULL AND size > {ngram_join.INLINE}").count() == 0
+    sizes = stored.agg({"size": "sum"}).first()[0]
+    assert sizes < 1500 * (296 * 8 + 32) * 1.1  # each set once
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t, _ in rows]
+    for i in (0, 700, 1499):
+        want = sum(len(grams[i] & g) >= 0.8 * len(grams[i] | g) for k, g in enumerate(grams) if k != i)
+        assert next(x.n_links for x in got if x.doc_id == i) == want
+
+
 def test_nulls_empties_and_repeats(table):
     text = "one two three four five six"
     rows = [(1, None, None), (2, "", None), (3, " .,!", None), (4, text, None), (4, text, None), (5, text.upper(), None), (None, text, None), (6, "hi", None), (7, "Hi!", None), (8, "word " * 50_000, None), (None, None, None)]
@@ -76,7 +120,7 @@ def test_nulls_empties_and_repeats(table):
     assert by[6] == by[7] == {(6, 2, 1)} and by[8] == {(8, 1, 0)}
     kept = ngram_join.drop_near_duplicates(table(rows, DOCS))
     assert kept.columns == ["doc_id", "text", "node"]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "8", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "8", "None"]
     assert ngram_join.ngram_classes(table([], DOCS)).count() == 0 and ngram_join.drop_near_duplicates(table([], DOCS)).count() == 0
 
 
@@ -88,6 +132,14 @@ def test_a_doc_id_of_two_classes_keeps_a_row_of_each(table):
     assert sorted(r.node for r in kept.collect()) == ["a", "c", "e", "f", "h"]
 
 
+def test_columns_of_any_name_stay(table):
+    text = "a b c d e f g"
+    schema = "doc_id long, text string, key string, twin string, node string, __row string, _row string, __own_id string, __other_id string"
+    rows = [(1, text, *"ABCDEFG"), (1, text, *"ABCDEFG"), (2, text.upper(), *"ABCDEFG"), (None, text, *"ABCDEFG")]
+    kept = ngram_join.drop_near_duplicates(table(rows, schema))
+    assert kept.columns == table([], schema).columns and [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
 def test_bands_reach_the_recall():
     for s, recall in ((0.8, 0.999), (0.5, 0.9), (0.9, 0.99)):
         b, r = ngram_join.choose_bands(s, recall)
