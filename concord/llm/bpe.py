@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.llm.pieces import Coder, library, runs, to_letters
+from concord.llm.shared import with_mapped
 
 _NEVER = np.int64(1) << 40
 
@@ -220,9 +221,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     array. All columns stay; a column token_ids is replaced. Equal texts get equal
     ids; an empty table stays empty. Nothing is shuffled.
     """
-    fed = docs.drop("token_ids").withColumn("__text", F.col("text").cast("string"))
-    out = T.StructType([*fed.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return fed.mapInArrow(lambda it: _with_ids(path, it), out).drop("__text")
+    return with_mapped(docs, F.col("text").cast("string"), lambda it: _with_ids(path, it), T.StructField("token_ids", T.ArrayType(T.IntegerType())))
 
 
 def _round_trip(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from concord.llm import gbt
 from concord.llm.dom import Node, name_tokens, parse
 from concord.llm.html_pages import MARK, marked_page
-from concord.llm.shared import free_name
+from concord.llm.shared import with_mapped
 
 #: Made pages that the model is learned from.
 PAGES = 1200
@@ -239,7 +239,4 @@ def with_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or default_model()
     sent = pages.sparkSession.sparkContext.broadcast(model)
-    name = free_name(pages, "html_in")
-    fed = pages.drop("main_text").withColumn(name, F.col("html").cast("string"))
-    out = T.StructType([*fed.schema.fields, T.StructField("main_text", T.StringType())])
-    return fed.mapInArrow(lambda it: _extract(sent.value, it), out).drop(name)
+    return with_mapped(pages, F.col("html").cast("string"), lambda it: _extract(sent.value, it), T.StructField("main_text", T.StringType()))

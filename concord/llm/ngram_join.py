@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from concord.llm import store
 from concord.llm.components import connected_components
-from concord.llm.shared import cut, dealt_anew, free_name, shared_dir
+from concord.llm.shared import cut, dealt_anew, free_name, shared_dir, with_mapped
 from concord.llm.words import mix, ragged_binary, sequence_keys, shingles, text_chunks, word_hashes
 
 #: Nodes of a block, and n-grams of all of them, to be expected at most.
@@ -423,7 +423,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) ->
     stays = F.col("node").isNull() | ((F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     counted = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(stays).alias("kept"))
     gone, again = counted.where("rows = 1 AND NOT kept").select("doc_id"), counted.where("rows > 1").select("doc_id")
-    own, other, text, key, twin, row = (free_name(docs, x) for x in ("own_id", "other_id", "text", "key", "twin", "row"))
+    own, other, key, twin, row = (free_name(docs, x) for x in ("own_id", "other_id", "key", "twin", "row"))
     named = docs.withColumn(own, F.col("doc_id").cast("long"))
     known = named.where(F.col(own).isNotNull())
     ids = lambda x: dealt_anew(x, "doc_id").withColumnRenamed("doc_id", other)
@@ -433,9 +433,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) ->
     if unsure.isEmpty():
         return once
     # rows of one doc_id, or of none, are told apart by the keys of their words
-    unsure = unsure.withColumn(text, F.col("text").cast("string"))
-    fields = T.StructType([*unsure.schema.fields, T.StructField(key, T.LongType()), T.StructField(twin, T.LongType())])
-    keyed = unsure.mapInArrow(lambda it: _with_keys([key, twin], 64, False, it), fields)
+    fields = [T.StructField(x, T.LongType()) for x in (key, twin)]
+    keyed = with_mapped(unsure, F.col("text").cast("string"), lambda it: _with_keys([key, twin], 64, False, it), *fields)
     of = [free_name(docs, f"{x}_of") for x in ("id", "key", "twin")]
     kept = classes.where(F.col("node").isNotNull() & stays).select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "key", "twin"), of, strict=True))).distinct()
     same = F.col(own).eqNullSafe(F.col(of[0])) & (F.col(key) == F.col(of[1])) & (F.col(twin) == F.col(of[2]))

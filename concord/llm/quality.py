@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Each whitespace-separated word and each run of 3 and of 4 bytes of a word, with one
-boundary mark at either side, is hashed to a row of an embedding matrix. So is each
-pair of neighbouring words, as one of two features: the same word again, or another. A document
-is the mean of its rows; a softmax over two classes reads it. Matrix and softmax are
-trained together by stochastic gradient descent in numpy on a bounded sample of
-labelled documents. As both layers are linear, a row's share in the score is one
+Each whitespace-separated word, each pair of neighbouring words, and each run of 3 and of
+4 characters of a word with one boundary mark at either side is hashed to a row of an
+embedding matrix; a pair has a second row, which says whether it is one word twice. A
+document is the mean of its rows; a softmax over two classes reads it. Matrix and
+softmax are trained together by stochastic gradient descent in numpy on a bounded sample
+of labelled documents. As both layers are linear, a row's share in the score is one
 number, so scoring is a gather and a mean over all of a text.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,52 +21,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.words import _TABLE, _power_tables, text_chunks
+from concord.llm.shared import free_name, with_mapped
+from concord.llm.words import mix, power_tables, text_chunks
 
 BITS, DIM, GRAMS = 18, 8, (3, 4)
+#: Rows of the matrix: one for each hash, and two that say whether a pair of neighbours is one word twice.
+ROWS = (1 << BITS) + 2
 #: Labelled documents, and bytes of their text, that are used for training at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 40_000_000
 #: SPREAD: how much faster the many rows of the matrix learn than the softmax.
 EPOCHS, RATE, SPREAD = 3, 0.5, 20.0
 THRESHOLD = 0.7
 _SPREAD_BITS = np.uint64(0xBF58476D1CE4E5B9)
-#: Bytes with every white space as a blank.
-_PLAIN = np.arange(256, dtype=np.uint8)
-_PLAIN[9:14] = 32
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: White space, which parts words.
+_BLANKS = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
-#: Buckets of the two features of neighbouring words: the same word again, or another.
-_AGAIN, _OTHER = 1, 2
+@lru_cache
+def _codes() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its number in the hash, and whether it belongs to a word."""
+    points = np.arange(0x110000, dtype=np.uint64)
+    solid = np.ones(len(points), bool)
+    solid[_BLANKS] = False
+    codes = mix(points + np.uint64(0x1234567)) | np.uint64(1)
+    codes[_BLANKS] = codes[0x20]
+    return codes, solid
+
+
+def _characters(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts in UTF-8, and where each text's begin."""
+    lead = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    try:
+        return np.frombuffer(b.tobytes().decode().encode("utf-32-le"), "<u4"), lead[offsets]
+    except UnicodeDecodeError:  # a text that is no UTF-8 has a sign of its own for what can't be read
+        texts = [b[i:j].tobytes().decode(errors="replace") for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
 def features(b: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bucket of each feature, where each text's begin): for words, pairs of neighbours, and each length of run."""
-    n, texts = len(b), len(offsets) - 1
-    if not n:
+    texts = len(offsets) - 1
+    if not len(b):
         return
-    # one boundary byte before each text and one at the end, so that every word has both
+    points, offsets = _characters(b, offsets)
+    n = len(points)
+    codes, word = _codes()
+    # one boundary sign before each text and one at the end, so that every word has both
     begin = offsets + np.arange(texts + 1)
     m = n + texts + 1
-    c = np.full(m, 32, np.uint8)
+    c = np.full(m, 32, np.uint32)
     own = np.ones(m, bool)
     own[begin] = False
-    c[own] = _PLAIN[b]
-    solid = c != 32
-    power, inverse = _power_tables(m)
+    c[own] = points
+    solid = word[c]
+    power, inverse = power_tables(m)
     sums = np.empty(m + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_TABLE[c] * power[:m], out=sums[1:])
+    np.cumsum(codes[c] * power[:m], out=sums[1:])
     shift = np.uint64(64 - BITS)
-    edge = solid[1:] != solid[:-1]
-    edges = np.flatnonzero(edge) + 1
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     at = np.searchsorted(starts, begin)
-    hashes = (sums[ends] - sums[starts]) * inverse[starts] * _SPREAD_BITS
-    yield (hashes >> shift).astype(np.int32), at
-    pairs = np.where(hashes[1:] == hashes[:-1], np.int32(_AGAIN), np.int32(_OTHER))
+    words = (sums[ends] - sums[starts]) * inverse[starts]
+    yield (words * _SPREAD_BITS >> shift).astype(np.int32), at
+    pairs = mix(words[:-1] * _PAIR + words[1:]) if len(words) else words
     inside = np.ones(len(starts), bool)
     inside[at[:-1][np.diff(at) > 0]] = False  # a text's first word has no neighbour before it
-    yield pairs[inside[1:]], np.concatenate([[0], np.cumsum(np.maximum(np.diff(at) - 1, 0))])
+    pairs_at = np.concatenate([[0], np.cumsum(np.maximum(np.diff(at) - 1, 0))])
+    yield (pairs >> shift).astype(np.int32)[inside[1:]], pairs_at
+    # pairs of a word with itself are as many as words; what they share has a row after those of hashes, as have all others
+    yield np.where(words[1:] == words[:-1], np.int32(1 << BITS), np.int32((1 << BITS) + 1))[inside[1:]], pairs_at
     for size in GRAMS:
         if m < size:
             return
@@ -104,14 +130,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(ROWS, np.float32), float(np.log(prior / (1 - prior))))
     rows = []
     for text in texts:
         _, b, offsets = next(text_chunks(pa.array([text]), lower=False))
         found = [bucket for bucket, _ in features(b, offsets)]
         bucket, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
         rows.append((bucket, (count / max(count.sum(), 1)).astype(np.float32)))
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
     bias = np.log(np.array([1 - prior, prior])).astype(np.float32)
     steps, done = EPOCHS * len(rows), 0
@@ -151,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # in an order that does not hang on how the rows are dealt, so that a rerun gives the same model
     texts, marks, size = [], [], 0
     for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        size += len(row.text)
+        size += len(row.text.encode())
         if texts and size > SAMPLE_BYTES:
             break
         texts.append(row.text)
@@ -174,13 +200,14 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     Equal texts get equal scores. An empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("quality_score")
-    fed = docs.withColumn("__scored", F.col("text").cast("string"))
-    out = T.StructType([*fed.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return fed.mapInArrow(lambda it: _score(sent.value, it), out).drop("__scored")
+    return with_mapped(docs, F.col("text").cast("string"), lambda it: _score(sent.value, it), T.StructField("quality_score", T.DoubleType()))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their columns, that score at least ``threshold``."""
-    scored = with_score(docs, model)
-    return scored.where(F.col("quality_score") >= threshold).select(*(scored[c] for c in docs.columns))
+    """The rows of ``docs``, with their columns, that score at least ``threshold``; null and empty texts are scored as any other."""
+    taken = next((c for c in docs.columns if c.lower() == "quality_score"), None)
+    if taken is None:
+        return with_score(docs, model).where(F.col("quality_score") >= threshold).drop("quality_score")
+    name = free_name(docs, "score")
+    kept = with_score(docs.withColumnRenamed(taken, name), model).where(F.col("quality_score") >= threshold)
+    return kept.drop("quality_score").withColumnRenamed(name, taken)

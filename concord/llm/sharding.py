@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm.shared import free_name
+
 #: Slots of the default table: a prime, a hundred for each shard.
 SLOTS = 3203
 #: Of a larger table the broadcast would not be small any more.
@@ -68,12 +70,14 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS)
 def with_shard(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with slot int and shard string by its column ``key``; all other columns stay, these two are replaced.
 
-    Rows of equal keys are on one shard, a null key is placed as the empty text is, and
+    ``key`` may be one of the two. Rows of equal keys are on one shard, a null key is placed as the empty text is, and
     rows repeat as they do in ``df``. No row is shuffled.
     """
-    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("slot", "__slot")
-    df = df.drop("slot", "shard").withColumn("__slot", slot(F.col(key), slots))
-    return df.join(F.broadcast(table), "__slot").withColumnRenamed("__slot", "slot").select(*df.drop("__slot").columns, "slot", "shard")
+    own = free_name(df, "slot")
+    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("slot", own)
+    df = df.withColumn(own, slot(F.col(f"`{key}`"), slots)).drop("slot", "shard")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != own]
+    return df.join(F.broadcast(table), own).select(*kept, F.col(own).alias("slot"), "shard")
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:

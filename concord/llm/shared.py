@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -60,6 +62,21 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def with_mapped(df: DataFrame, column: Column, func: Callable, *fields: T.StructField) -> DataFrame:
+    """``df`` with further columns that ``func`` makes of ``column`` in Arrow batches; columns of their names are replaced.
+
+    ``func`` gets batches with all columns and, last, ``column``, and gives them back with
+    the new columns after it. Names that the user's columns have don't matter to it.
+    """
+    fed = df.select("*", column.alias(free_name(df, "in")))
+    for f in fields:
+        fed = fed.drop(f.name)
+    names = fed.columns[:-1]
+    plain = fed.toDF(*(f"c{i}" for i in range(len(names))), "fed")
+    schema = T.StructType([*plain.schema.fields, *fields])
+    return plain.mapInArrow(func, schema).drop("fed").toDF(*names, *(f.name for f in fields))
+
+
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """``df``, an aggregate by the long column ``key``, for a join on it.
 

@@ -29,7 +29,8 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of word hashes, and of its inverse, up to the n-th at least."""
     global _powers
     if len(_powers[0]) <= n:
         size = max(n + 1, CHUNK_BYTES + 1)
@@ -130,7 +131,7 @@ def word_hashes(b: np.ndarray, offsets: np.ndarray, apart: bool = False) -> tupl
         before[first] = before[end] = False
     starts = np.flatnonzero(word & ~before[:n])
     ends = np.flatnonzero(word & ~(np.append(word[1:], False) & before[1:])) + 1
-    power, inverse = _power_tables(n)
+    power, inverse = power_tables(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_TABLE[b] * power[:n], out=sums[1:])
@@ -166,7 +167,7 @@ def sequence_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     """Two 64-bit keys of each text's sequence of words; equal sequences have equal keys."""
     counts = np.diff(at)
     place = np.arange(len(words)) - np.repeat(at[:-1], counts)
-    power, _ = _power_tables(int(counts.max(initial=0)) + 1)
+    power, _ = power_tables(int(counts.max(initial=0)) + 1)
     keys = []
     for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A99)):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words ^ salt) * power[place])])

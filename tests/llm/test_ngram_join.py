@@ -134,8 +134,8 @@ def test_a_doc_id_of_two_classes_keeps_a_row_of_each(table):
 
 def test_columns_of_any_name_stay(table):
     text = "a b c d e f g"
-    schema = "doc_id long, text string, key string, twin string, node string, __row string, _row string, __own_id string, __other_id string"
-    rows = [(1, text, *"ABCDEFG"), (1, text, *"ABCDEFG"), (2, text.upper(), *"ABCDEFG"), (None, text, *"ABCDEFG")]
+    schema = "doc_id long, text string, key string, twin string, node string, __row string, _row string, __own_id string, __other_id string, `a.b` string"
+    rows = [(1, text, *"ABCDEFGH"), (1, text, *"ABCDEFGH"), (2, text.upper(), *"ABCDEFGH"), (None, text, *"ABCDEFGH")]
     kept = ngram_join.drop_near_duplicates(table(rows, schema))
     assert kept.columns == table([], schema).columns and [tuple(r) for r in kept.collect()] == [rows[0]]
 

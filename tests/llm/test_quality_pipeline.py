@@ -58,8 +58,8 @@ def test_any_text_has_a_score(table, labelled):
 
 def test_scores_are_means_over_all_features():
     r = random.Random(1)
-    texts = ["", "one", *(_text(r, k % 2) for k in range(30)), "tail"]
-    model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), 0.3)
+    texts = ["", "one", "Çá va bien\u00a0là 漢字 😀😀 va va", *(_text(r, k % 2) for k in range(30)), "tail"]
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.ROWS).astype(np.float32), 0.3)
     _, b, offsets = next(text_chunks(pa.array(texts), lower=False))
     got = model.scores(b, offsets)
     for t, s in zip(texts, got, strict=True):
@@ -67,9 +67,46 @@ def test_scores_are_means_over_all_features():
         found = [x for bucket, _ in quality.features(b1, o1) for x in bucket]
         z = (np.mean(model.share[found]) if found else 0) + 0.3
         assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
-        counts = {k: len(x) for k, (x, _) in zip(("words", "pairs", "three", "four"), quality.features(b1, o1), strict=False)}
+        names = ("words", "pairs", "again", "three", "four")
+        counts = {k: len(x) for k, (x, _) in zip(names, quality.features(b1, o1), strict=False)}
         w = t.split()
-        assert not w or counts == {"words": len(w), "pairs": len(w) - 1, "three": sum(len(x.encode()) for x in w), "four": sum(len(x.encode()) - 1 for x in w)}
+        assert not w or counts == dict(zip(names, (len(w), len(w) - 1, len(w) - 1, sum(map(len, w)), sum(len(x) - 1 for x in w)), strict=True))
+
+
+def test_pairs_of_words_and_runs_of_characters_are_hashed():
+    def buckets(text):
+        _, b, offsets = next(text_chunks(pa.array([text]), lower=False))
+        return [x.tolist() for x, _ in quality.features(b, offsets)]
+
+    one, other = buckets("red house red house"), buckets("house red house red")
+    assert one[1] == [other[1][1], other[1][0], other[1][1]] and len(set(one[1])) == 2  # pairs have an order
+    assert len({x for t in ("aé b", "aè b", "aê b") for x in buckets(t)[3]}) == 7  # a run never cuts a character: " aé", "aé ", ..., " b "
+    assert buckets("a a b")[2] == [1 << quality.BITS, (1 << quality.BITS) + 1] and max(map(max, one)) < quality.ROWS
+
+
+def test_bytes_that_are_no_text_have_a_score():
+    b = np.frombuffer(b"ab\xff\xfe cd" + b"plain", np.uint8)
+    model = quality.Model(np.ones(quality.ROWS, np.float32), 0.0)
+    assert np.allclose(model.scores(b, np.array([0, 7, 12])), 1 / (1 + np.exp(-1)))
+
+
+def test_columns_of_any_name_stay(table, labelled):
+    """The operators' own names give way to those of a table."""
+    import public_tokenizers
+
+    from concord.llm import bpe, sharding
+
+    model = quality.train(*_tables(table, labelled))
+    docs = table([(1, "a text", "u", "v", "w", "x", "y")], "doc_id long, text string, __text_in string, __slot string, slot string, Quality_Score string, `a.b` string")
+    scored = quality.with_score(docs.drop("Quality_Score"), model)
+    assert scored.columns == [*docs.drop("Quality_Score").columns, "quality_score"] and scored.first()["__text_in"] == "u"
+    assert quality.keep_good(docs, model, 0.0).columns == docs.columns and quality.keep_good(docs, model, 0.0).first()["Quality_Score"] == "x"
+    encoded = bpe.with_tokens(docs, public_tokenizers.path(llm_queries.WORD_BPE))
+    assert encoded.columns == [*docs.columns, "token_ids"] and encoded.first()["__text_in"] == "u"
+    placed = sharding.with_shard(docs, "slot")
+    assert placed.columns == [*(c for c in docs.columns if c != "slot"), "slot", "shard"] and placed.first()["__slot"] == "v"
+    want = sharding.with_shard(docs.select(docs["slot"].alias("k")), "k").first()
+    assert (placed.first()["slot"], placed.first()["shard"]) == (want["slot"], want["shard"])
 
 
 def test_words_and_shingles():
@@ -118,6 +155,16 @@ def test_stages_are_those_of_brute_force(spark, sf):
     assert last.count() == len(kept[2]) and {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(kept[2])
 
 
+def test_stages_with_nulls_repeats_and_empty_tables(spark, table, sf, tmp_path):
+    schema = "doc_id long, text string, lang string, __leak string"
+    rows = [(1, None, "en", "a"), (2, "", None, "b"), (None, "a short text", "en", None), (None, "a short text", "en", None), (3, "word " * 30_000, "en", "c"), (3, "word " * 30_000, "en", "d")]
+    for docs in (table(rows, schema), table([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert out.count() <= n and (name == "encoding" or out.columns == docs.columns), name
+
+
 def test_queries_are_registered_and_have_their_columns(spark, sf):
     columns = {
         "op1_sharding": {"doc_id", "slot", "shard"},
