@@ -2,18 +2,20 @@
 
 A shard holds documents in ascending order of their id. Layout, numbers little-endian:
 
-    header  8 bytes           b"CSST0001"
+    header  8 bytes           b"CSST0002"
     blocks                    each zstd-compressed, then crc32 of the stored bytes (4)
-    index   per block         first key (9), offset (8), stored bytes (4), entries (4)
+    index   per block         first and last key (9 each), offset (8), stored bytes (4),
+                              entries (4), ids in the blocks before (8)
     filter  Bloom filter      bits
     footer  FOOTER bytes      offsets and sizes of index and filter, hashes of the filter,
-                              documents, ids, bytes an id, b"CSST0001"
+                              documents, ids, bytes an id, b"CSST0002"
 
 A block is a run of entries: bytes shared with the key before (1), further bytes of
 the key (1), bytes of the value (4), the further bytes, the value. Keys are 9 bytes
 that sort as the ids do, null first. The value is the token ids, of 2 bytes each where
-the vocabulary allows, else of 4. A lookup asks the filter, bisects the index, and
-reads one block.
+the vocabulary allows, else of 4. The manifest has each shard's first and last id, so
+a lookup opens only shards that may hold the id; it asks the filter, bisects the
+index, and reads one block, of which the index says how many ids stand before it.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from concord.llm import store
 from concord.llm.pieces import Coder, library, runs, to_letters
 
-MAGIC = b"CSST0001"
+MAGIC = b"CSST0002"
 FOOTER = struct.Struct("<QQQQIQQI8s")
-_INDEX = struct.Struct("<9sQII")
+_INDEX = struct.Struct("<9s9sQIIQ")
 #: Bytes of entries after which a block ends, before compression.
 BLOCK_BYTES = 1 << 18
 #: Bits of the Bloom filter a document, and its hashes.
 FILTER_BITS, FILTER_HASHES = 10, 7
+#: Stored bytes and documents after which a task begins another shard; its keys are held until it ends.
+SHARD_BYTES, SHARD_DOCUMENTS = 1 << 28, 1 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -52,11 +56,13 @@ def id_of(key: bytes) -> int | None:
     return int.from_bytes(key[1:], "big") - (1 << 63) if key[0] else None
 
 
-def _filter_places(keys: list[bytes], bits: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(k[1:] for k in keys), ">u8").astype(np.uint64) + np.array([k[0] for k in keys], np.uint64)
+def _filter_places(keys: bytes, bits: int) -> np.ndarray:
+    """Places in a filter of so many bits of keys that stand one after another, a row for each."""
+    parts = np.frombuffer(keys, np.dtype([("sign", "u1"), ("number", ">u8")]))
+    x = parts["number"].astype(np.uint64) + parts["sign"]
     a = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     b = (a ^ (a >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(FILTER_HASHES, dtype=np.uint64)) % np.uint64(bits)
+    return ((a[:, None] + b[:, None] * np.arange(FILTER_HASHES, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 class Writer:
@@ -65,7 +71,7 @@ class Writer:
     def __init__(self, stream, width: int):
         self.stream, self.width, self.offset = stream, width, 0
         self.block, self.first, self.last, self.entries = bytearray(), b"", b"", 0
-        self.index, self.keys, self.ids = [], [], 0
+        self.index, self.keys, self.ids, self.ids_before = [], bytearray(), 0, 0
         self.pack = zstandard.ZstdCompressor(level=1).compress
         self._put(MAGIC)
 
@@ -73,9 +79,17 @@ class Writer:
         self.stream.write(data)
         self.offset += len(data)
 
+    @property
+    def documents(self) -> int:
+        return len(self.keys) // 9
+
+    @property
+    def full(self) -> bool:
+        return self.offset >= SHARD_BYTES or self.documents >= SHARD_DOCUMENTS
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key, value = key_of(doc_id), ids.astype(f"<u{self.width}").tobytes()
-        if self.keys and key < self.keys[-1]:
+        if key < self.last:
             raise ValueError("documents must come in ascending order")
         shared = 0
         if self.entries:
@@ -85,30 +99,30 @@ class Writer:
             self.first = key
         self.block += struct.pack("<BBI", shared, 9 - shared, len(value)) + key[shared:] + value
         self.last, self.entries, self.ids = key, self.entries + 1, self.ids + len(ids)
-        self.keys.append(key)
+        self.keys += key
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
 
     def _end_block(self) -> None:
         if self.entries:
             stored = self.pack(bytes(self.block))
-            self.index.append((self.first, self.offset, len(stored), self.entries))
+            self.index.append((self.first, self.last, self.offset, len(stored), self.entries, self.ids_before))
             self._put(stored + struct.pack("<I", zlib.crc32(stored)))
-        self.block, self.entries = bytearray(), 0
+        self.block, self.entries, self.ids_before = bytearray(), 0, self.ids
 
     def close(self) -> None:
         self._end_block()
         index = b"".join(_INDEX.pack(*x) for x in self.index)
         at = self.offset
         self._put(index)
-        bits = max(64, len(self.keys) * FILTER_BITS)
+        bits = max(64, self.documents * FILTER_BITS)
         marks = np.zeros(-(-bits // 8) * 8, np.uint8)
-        if self.keys:
-            marks[_filter_places(self.keys, bits).astype(np.int64)] = 1
+        for low in range(0, len(self.keys), 9 << 16):
+            marks[_filter_places(bytes(self.keys[low : low + (9 << 16)]), bits)] = 1
         packed = np.packbits(marks).tobytes()
         filter_at = self.offset
         self._put(packed)
-        self._put(FOOTER.pack(at, len(index), filter_at, len(packed), bits, len(self.keys), self.ids, self.width, MAGIC))
+        self._put(FOOTER.pack(at, len(index), filter_at, len(packed), bits, self.documents, self.ids, self.width, MAGIC))
         self.stream.close()
 
 
@@ -125,10 +139,12 @@ class Shard:
             raise ValueError("a token table without its end")
         self.index = list(_INDEX.iter_unpack(file.read_at(n, at)))
         self._filter = filter_at, filter_n
+        self.blocks_read = 0
 
     def _block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, at, size, _ = self.index[k]
+        _, _, at, size, _, _ = self.index[k]
         stored = self.file.read_at(size + 4, at)
+        self.blocks_read += 1
         if zlib.crc32(stored[:size]) != struct.unpack("<I", stored[size:])[0]:
             raise ValueError(f"block {k} is damaged")
         data, key, i = zstandard.ZstdDecompressor().decompress(stored[:size]), b"", 0
@@ -145,20 +161,26 @@ class Shard:
             for key, ids in self._block(k):
                 yield id_of(key), ids
 
-    @property
-    def filter(self) -> np.ndarray:
+    def may_hold(self, key: bytes) -> bool:
+        """What the filter says: False only for keys that the shard does not have."""
         at, n = self._filter
-        return np.unpackbits(np.frombuffer(self.file.read_at(n, at), np.uint8))
+        bits = np.frombuffer(self.file.read_at(n, at), np.uint8)
+        places = _filter_places(key, self.bits)[0]
+        return bool((bits[places >> 3] >> (7 - (places & 7)) & 1).all())
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
-        """The ids of each document of that id, mostly one or none."""
+    def get(self, doc_id: int | None) -> list[tuple[int, np.ndarray]]:
+        """(ids of the shard before, ids) of each document of that id, mostly one or none."""
         key = key_of(doc_id)
-        if not self.filter[_filter_places([key], self.bits).astype(np.int64)].all():
+        if not self.may_hold(key):
             return []
-        k = max(bisect.bisect_left([x[0] for x in self.index], key) - 1, 0)
+        k = bisect.bisect_left([x[1] for x in self.index], key)
         found = []
         while k < len(self.index) and self.index[k][0] <= key:
-            found += [ids for own, ids in self._block(k) if own == key]
+            before = self.index[k][5]
+            for own, ids in self._block(k):
+                if own == key:
+                    found.append((before, ids))
+                before += len(ids)
             k += 1
         return found
 
@@ -195,19 +217,34 @@ def library_ids(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.frombuffer(ids, "<u4")
 
 
+_MADE = "shard long, part long, file string, documents long, ids long, first long, last long"
+
+
 def _write(folder: str, path: str, end: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    writer = None
+    width = 2 if max(library(path).get_vocab_size(), (end or 0) + 1) <= 65536 else 4
+    writer, made = None, []
+
+    def close() -> None:
+        writer.close()
+        first, last = (id_of(bytes(k)) for k in (writer.keys[:9], writer.keys[-9:]))
+        made.append((TaskContext.get().partitionId(), len(made), file, writer.documents, writer.ids, first, last))
+
     for batch in batches:
-        if writer is None:
-            file = store.new_file(folder, ".sst")
-            writer = Writer(store.create(file), 2 if max(library(path).get_vocab_size(), (end or 0) + 1) <= 65536 else 4)
         for doc_id, ids in zip(batch.column(0).to_pylist(), library_ids(path, batch.column(1).to_pylist()), strict=True):
+            if writer is None:
+                file = store.new_file(folder, ".sst")
+                writer = Writer(store.create(file), width)
             writer.add(doc_id, ids if end is None else np.append(ids, np.uint32(end)))
+            if writer.full:
+                close()
+                writer = None
     if writer is not None:
-        writer.close()
-        yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "file": [file], "documents": [len(writer.keys)], "ids": [writer.ids]})
+        close()
+    if made:
+        names = [c.split()[0] for c in _MADE.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "file" else pa.int64()) for c, n in zip(zip(*made, strict=True), names, strict=True)], names)
 
 
 def write_token_tables(docs: DataFrame, folder: str, path: str, end: int | None = None) -> None:
@@ -217,14 +254,15 @@ def write_token_tables(docs: DataFrame, folder: str, path: str, end: int | None
     file at ``path``, then ``end`` if given. Null and empty texts have no ids of their
     own. Null doc_ids come first; rows that repeat a doc_id are entries of their own,
     in the order of their texts. The range partitioning also looks at a hash of the
-    text, so that many rows of one doc_id do not meet in one task. An empty table makes
-    no shard.
+    text, so that many rows of one doc_id do not meet in one task. A task ends a shard at
+    SHARD_BYTES or SHARD_DOCUMENTS and begins another. An empty table makes no shard.
+    Other columns are ignored. The driver gets one row a shard, for the manifest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()]
     dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys, "text").drop("tie")
-    made = dealt.mapInArrow(lambda it: _write(folder, path, end, it), "shard long, file string, documents long, ids long").collect()
-    store.commit(folder, [r.asDict() for r in sorted(made, key=lambda r: r.shard)])
+    made = dealt.mapInArrow(lambda it: _write(folder, path, end, it), _MADE).collect()
+    store.commit(folder, [r.asDict() for r in sorted(made, key=lambda r: (r.shard, r.part))])
 
 
 @dataclass
@@ -238,7 +276,8 @@ class TokenTables(DataSource):
 
     Columns, of which a given schema may name fewer: doc_id, start (ids of all
     documents before), n_tokens, ids_crc32 (unsigned, of the ids as little-endian
-    32-bit integers), token_ids. With option doc_id, a lookup in each shard.
+    32-bit integers), token_ids. With option doc_id, a lookup in the shards whose ids
+    go from below to above it; empty means the null id.
     """
 
     @classmethod
@@ -258,26 +297,28 @@ class _TokenReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, start = [], 0
+        key = None if self.wanted is None else key_of(self._id())
         for f in store.committed(self.folder):
-            out.append(_ShardPartition(f["file"], start))
+            if key is None or key_of(f["first"]) <= key <= key_of(f["last"]):
+                out.append(_ShardPartition(f["file"], start))
             start += f["ids"]
         return out
 
+    def _id(self) -> int | None:
+        return int(self.wanted) if self.wanted else None
+
     def read(self, partition: _ShardPartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         with store.open_file(partition.file) as f:
             shard, start = Shard(f), partition.start
-            if self.wanted is not None:
-                wanted = int(self.wanted)
-                if not shard.get(wanted):
-                    return
             rows: list[tuple] = []
+            if self.wanted is not None:
+                rows = [(self._id(), start + before, ids) for before, ids in shard.get(self._id())]
             held = 0
-            for doc_id, ids in shard:
-                if self.wanted is None or doc_id == wanted:
-                    rows.append((doc_id, start, ids))
-                    held += len(ids)
+            for doc_id, ids in shard if self.wanted is None else ():
+                rows.append((doc_id, start, ids))
+                held += len(ids)
                 start += len(ids)
                 if held > 1 << 20:
                     yield self._batch(rows)
@@ -302,7 +343,7 @@ def read_token_tables(spark: SparkSession, folder: str, columns: str = "doc_id l
     return spark.read.format("token_tables").schema(columns).load(folder)
 
 
-def find_document(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
-    """The document of one id, by each shard's filter and index."""
+def find_document(spark: SparkSession, folder: str, doc_id: int | None) -> DataFrame:
+    """The documents of one id, mostly one or none, by the manifest, the filter and the index of the shards that may hold it."""
     spark.dataSource.register(TokenTables)
-    return spark.read.format("token_tables").option("doc_id", str(doc_id)).load(folder)
+    return spark.read.format("token_tables").option("doc_id", "" if doc_id is None else str(doc_id)).load(folder)

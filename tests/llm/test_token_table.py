@@ -33,10 +33,38 @@ def test_a_shard_gives_back_its_documents(monkeypatch):
     assert [(k, ids.tolist()) for k, ids in shard] == rows
     assert len(shard.index) > 20 and shard.ids == sum(len(i) for _, i in rows)
     for k in (None, -5, 2**63 - 1, keys[100]):
-        assert [i.tolist() for i in shard.get(k)] == [i for q, i in rows if q == k]
+        before = np.cumsum([0, *(len(i) for _, i in rows)]).tolist()
+        assert [(b, i.tolist()) for b, i in shard.get(k)] == [(b, i) for b, (q, i) in zip(before, rows, strict=False) if q == k]
     assert sum(bool(shard.get(k)) for k in range(2_000_000, 2_000_300)) == 0
 
 
+def test_a_lookup_reads_one_block(monkeypatch):
+    monkeypatch.setattr(token_table, "BLOCK_BYTES", 100)
+    data = _shard([(k, [k % 50_000] * 10) for k in range(0, 4000, 2)])
+    for k in (0, 2, 1998, 2000, 3998, 1234):
+        shard = token_table.Shard(pa.BufferReader(data))
+        assert len(shard.index) > 200
+        assert [(b, i.tolist()) for b, i in shard.get(k)] == [(k * 5, [k] * 10)] and shard.blocks_read == 1
+    reads = 0
+    for k in range(1, 4000, 40):
+        shard = token_table.Shard(pa.BufferReader(data))
+        assert shard.get(k) == []
+        reads += shard.blocks_read
+    assert reads < 10  # the filter answers for most
+
+
+def test_a_task_rolls_over_to_another_shard(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    import pyspark
+
+    monkeypatch.setattr(token_table, "SHARD_DOCUMENTS", 10)
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(24)], pa.int64()), "text": [f"text {i}" for i in range(25)]})
+    made = pa.Table.from_batches(token_table._write(f"file://{tmp_path}/t", PATH, 2, iter([batch]))).to_pylist()
+    assert [(m["shard"], m["part"], m["documents"], m["first"], m["last"]) for m in made] == [(3, 0, 10, None, 8), (3, 1, 10, 9, 18), (3, 2, 5, 19, 23)]
+
+
 def test_damage_is_noticed():
     data = bytearray(_shard([(1, [1, 2, 3])]))
     data[12] ^= 255
@@ -70,7 +98,11 @@ def test_tables_round_trip(spark, table, tmp_path):
         start += r.n_tokens
         ids_before.append(r.doc_id)
     assert ids_before[0] is None and ids_before[1:] == sorted(ids_before[1:]) and len(got) == len(rows)
-    assert token_table.find_document(spark, folder, 7).first().token_ids == want[7][0]
+    starts = {r.doc_id: r.start for r in got}
+    for i in (7, None, -3, 199):
+        found = token_table.find_document(spark, folder, i)
+        assert found.first().token_ids == want[i][0] and found.first().start == starts[i]
+        assert found.rdd.getNumPartitions() <= 2  # of several shards
     assert token_table.find_document(spark, folder, 50).count() == 2 and token_table.find_document(spark, folder, 999).count() == 0
 
 
