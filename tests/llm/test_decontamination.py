@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import pytest
+
 from concord.llm import decontamination as d
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, doc_id string"
@@ -54,15 +56,42 @@ def test_pairs_are_those_of_brute_force(table):
     assert all(x.matched >= min(x.window, d.WINDOW) - d.LOSS for x in rows)
 
 
-def test_blocks_of_the_benchmark_give_the_same(table, monkeypatch):
-    r = random.Random(2)
+def _mixed(seed):
+    r = random.Random(seed)
     text = lambda n: " ".join(r.choice("abcdefgh") + r.choice("aeiou") + r.choice("rst") for _ in range(n))
-    items = [(k, text(20), None) for k in range(9)]
-    docs = table([(k, text(5) + " " + items[k % 9][1] + " " + text(5), None) for k in range(30)], DOCS)
-    one = {tuple(x) for x in d.overlaps(docs, table(items, ITEMS)).collect()}
+    items = [(k, text(r.choice((5, 9, 12, 13, 20, 60))), None) for k in range(12)] + [(3, text(20), None), (None, text(15), None), (50, None, None), (51, "too short", None)]
+    docs = []
+    for k in range(80):
+        own = (items[k % 14][1] if k % 4 else text(20)).split()
+        if k % 3 == 0:
+            own[r.randrange(len(own))] = "other"
+        docs.append((k % 70 if k % 9 else None, " ".join([text(5), *own, text(r.choice((0, 3, 40)))]), None))
+    return docs + [(91, "", None), (92, None, None), (93, " ".join(i[1] for i in items[:12]) * 3, None)], items
+
+
+@pytest.mark.parametrize("short_loss", [False, True])
+def test_a_large_benchmark_is_joined_by_hash_with_the_same_rows(spark, table, monkeypatch, short_loss):
+    docs, items = _mixed(2)
+    docs, items = table(docs, DOCS).repartition(3), table(items, ITEMS).repartition(2)
+    one = sorted(map(tuple, d.overlaps(docs, items, short_loss).collect()), key=str)
     monkeypatch.setattr(d, "BLOCK_WORDS", 50)
-    assert len(list(d._blocks(table(items, ITEMS)))) == 3
-    assert {tuple(x) for x in d.overlaps(docs, table(items, ITEMS)).collect()} == one and len(one) == 30
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = d.overlaps(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string"), items, short_loss)
+    assert sorted(map(tuple, got.collect()), key=str) == one and len(one) > 50
+    assert read.value == docs.count()  # the documents are read once, whatever the benchmark's size
+
+
+def test_all_rows_of_a_doc_id_go_with_a_leak(table):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = table([(1, item, "a"), (1, "something else", "b"), (None, item, "c"), (2, None, "d")], "doc_id long, text string, __leak string")
+    left = d.decontaminate(docs, table([(0, item, None)], ITEMS))
+    assert left.columns == docs.columns and sorted(r["__leak"] for r in left.collect()) == ["c", "d"]
 
 
 def test_leaks_go_and_all_else_stays(table):
