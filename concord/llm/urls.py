@@ -2,7 +2,8 @@
 
 Rules and trees are Spark SQL expressions of the URL alone, so nothing is shuffled and
 no Python runs on executors. The trees are learned on the driver from a bounded set of
-labelled URLs.
+labelled URLs: those of a given table, or made ones, in which spam shows by its form and
+not by words: hyphens, digits or noise in the host, depth, parameters, rare suffixes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import gbt
+from concord.llm.shared import free_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PATTERN = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -57,95 +59,117 @@ MOST_RULES = 500
 #: Labelled URLs that are used for training at most.
 SAMPLE_URLS = 20_000
 
-# Words that the labelled URLs are made of.
-_BAD = "cheap pills casino win spam farm free bets ads track loan cash poker slots viagra bonus click adult dating replica crypto prize deal promo coupon bet jackpot seo clickbait popup banner".split()
-_GOOD = "news blog wiki docs library garden school museum science history music travel recipes review journal archive city health sports research".split()
-_PARTS = "the an er on in re th at nd st en ou ti es or ing ha is it ed le ca mo pa ri su ve do lu bi ko na".split()
-_TOPS = "com net org info io de fr es co.uk edu".split()
-_PATHS = "en de fr es news articles blog posts wiki docs about 2023 2024 category tags".split()
-
-
-def labelled_urls(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
-    """Made URLs; label 1: to be blocked. Hosts of those are commercial words, mostly two or more with hyphens or digits."""
-    r = random.Random(seed)
+# What the made URLs are put together from. Words say nothing about the label; suffixes do.
+_PARTS = "ba co di fe ga hu jo ki lo ma ne pa qui ro sa te vu wi ya zo tra ple stri mon ber lin".split()
+_SHARED_TOPS = "com com com net org info".split()
+_GOOD_TOPS = "de fr es uk nl it eu edu gov ch at se pl jp ca au".split()
+_BAD_TOPS = "xyz top click loan win bid icu buzz online site club work".split()
+_SECTIONS = "en de fr es news articles blog posts wiki docs about archive category tags products help".split()
+
+
+class _Urls:
+    """Draws labelled URLs. Each label has forms of hosts, paths and queries of its own, and both share some."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def word(self) -> str:
+        return "".join(self.r.choice(_PARTS) for _ in range(self.r.randint(2, 4)))
+
+    def noise(self, low: int, high: int, signs: str = LOWER + "0123456789") -> str:
+        return "".join(self.r.choice(signs) for _ in range(self.r.randint(low, high)))
+
+    def slug(self) -> str:
+        return "-".join(self.word() for _ in range(self.r.randint(2, 7)))
+
+    def good(self) -> str:
+        r = self.r
+        host = "-".join(self.word() for _ in range(r.choice((1, 1, 1, 1, 1, 2, 2, 3)))) + (str(r.randint(1, 99)) if r.random() < 0.04 else "")
+        host = r.choice(("", "", "www.", "blog.", "en.", "m.", "docs.")) + host + (f".{self.word()}" if r.random() < 0.2 else "") + "." + r.choice(_SHARED_TOPS + _GOOD_TOPS)
+        parts = [r.choice(_SECTIONS) for _ in range(r.choice((0, 0, 1, 1, 2, 3)))]
+        if r.random() < 0.2:
+            parts += [str(r.randint(1995, 2025)), f"{r.randint(1, 12):02d}"]
+        parts += r.choice(([], [str(r.randint(1, 99999))], [self.slug()], [self.slug() + ".html"], [""]))
+        query = r.choice(("", "", "", "#top", f"?id={r.randint(1, 9999)}", "?page=2&ref=x", f"?utm_source={self.word()}&utm_medium=feed&utm_campaign={self.word()}"))
+        return host + "".join(f"/{x}" for x in parts) + query
+
+    def bad(self) -> str:
+        r = self.r
+        forms = r.sample(("hyphens", "noise", "digits", "deep", "parameters"), r.choice((1, 1, 2, 2, 3)))
+        host = self.word()
+        if "hyphens" in forms:
+            host = "-".join(self.word() for _ in range(r.randint(3, 6)))
+        if "noise" in forms:
+            host = self.noise(11, 26)
+        if "digits" in forms:
+            host = ".".join(str(r.randint(1, 254)) for _ in range(4)) if r.random() < 0.2 else host + self.noise(3, 7, "0123456789")
+        if not host[-1].isdigit() or "digits" not in forms or "." not in host:
+            host = "".join(f"{self.noise(2, 6)}." for _ in range(r.choice((0, 0, 0, 1, 3)))) + host + "." + r.choice(_SHARED_TOPS[2:] + _BAD_TOPS)
+        parts = [r.choice(_SECTIONS) for _ in range(r.choice((0, 0, 1)))]
+        if "deep" in forms:
+            parts += [self.noise(3, 14) for _ in range(r.randint(5, 10))]
+        query = "?" + "&".join(f"{self.noise(1, 6, LOWER)}={self.noise(3, 24)}" for _ in range(r.randint(4, 10))) if "parameters" in forms else r.choice(("", "", f"?{self.noise(1, 4)}={self.noise(2, 9)}"))
+        return host + "".join(f"/{x}" for x in parts) + r.choice(("", "/")) + query
+
+
+def labelled_urls(n: int = 6000, seed: int = 5) -> list[tuple[str, int]]:
+    """Made URLs; label 1: to be blocked. Those have hosts of many hyphens, digits or noise, deep paths or many parameters."""
+    draw = _Urls(seed)
     out = []
     for _ in range(n):
-        bad = r.random() < 0.4
-        syllables = "".join(r.choice(_PARTS) for _ in range(r.randint(2, 4)))
-        if bad:
-            name = "-".join(r.sample(_BAD, r.choice((2, 2, 2, 3))))
-            if r.random() < 0.15:
-                name = name.replace("-", str(r.randint(1, 999)), 1)
-            if r.random() < 0.1:
-                name = f"{syllables}-{r.choice(_BAD)}-{r.choice(_BAD)}"
-        else:
-            name = syllables if r.random() < 0.7 else r.choice(_GOOD) + r.choice(("", syllables))
-            if r.random() < 0.05:
-                name = f"{r.choice(_GOOD)}-{syllables}"
-        host = r.choice(("", "", "www.", "blog.", "m.", "news.")) + name + r.choice((".example", ".example", ".site", "")) + "." + r.choice(_TOPS)
-        path = "".join("/" + r.choice(_PATHS) for _ in range(r.randint(0, 2))) + r.choice(("", "/", f"/{r.randint(1, 999)}", f"/{r.randint(1, 999)}.html", f"/{syllables}"))
-        tail = r.choice(("", "", "#top", "?page=2&ref=x", "?utm_source=feed", f"?id={r.randint(1, 9999)}"))
-        out.append((r.choice(("http", "https")) + "://" + host + path + tail, int(bad)))
+        bad = draw.r.random() < 0.4
+        out.append((draw.r.choice(("http", "https")) + "://" + (draw.bad() if bad else draw.good()), int(bad)))
     return out
 
 
-#: Features in SQL of the columns url, host and path. Of functions that differ, {0} is a text as an array of its characters, and so on.
+#: SQL of the functions that differ; {url}, {host} and {path} are the names of columns.
 _DIALECTS = {
     "spark": {
-        "entropy": "aggregate(transform(array_distinct(split(host, '')), c -> (length(host) - length(replace(host, c, ''))) / length(host)), 0D, (s, p) -> s - p * ln(p))",
-        "longest": "array_max(transform(split(host, '[-.]'), x -> length(x)))",
-        "parts": "split(host, '[-.]')",
-        "count_in": "size(filter({parts}, x -> x IN ({words})))",
-        "extract": "regexp_extract(url, '{pattern}', {group})",
-        "last": "element_at(split(host, '[.]'), -1)",
-        "double": "double",
+        "entropy": "aggregate(transform(array_distinct(split({host}, '')), c -> (length({host}) - length(replace({host}, c, ''))) / length({host})), 0D, (s, p) -> s - p * ln(p))",
+        "longest": "array_max(transform(split({host}, '[-.]'), x -> length(x)))",
+        "last": "element_at(split({host}, '[.]'), -1)",
     },
     "duckdb": {
-        "entropy": "list_sum(list_transform(list_distinct(string_split(host, '')), lambda c: -((length(host) - length(replace(host, c, '')))::DOUBLE / length(host)) * ln((length(host) - length(replace(host, c, '')))::DOUBLE / length(host))))",
-        "longest": "list_max(list_transform(regexp_split_to_array(host, '[-.]'), lambda x: length(x)))",
-        "parts": "regexp_split_to_array(host, '[-.]')",
-        "count_in": "len(list_filter({parts}, lambda x: x IN ({words})))",
-        "extract": "regexp_extract(url, '{pattern}', {group})",
-        "last": "string_split(host, '.')[-1]",
-        "double": "double",
+        "entropy": "list_sum(list_transform(list_distinct(string_split({host}, '')), lambda c: -((length({host}) - length(replace({host}, c, '')))::DOUBLE / length({host})) * ln((length({host}) - length(replace({host}, c, '')))::DOUBLE / length({host}))))",
+        "longest": "list_max(list_transform(regexp_split_to_array({host}, '[-.]'), lambda x: length(x)))",
+        "last": "string_split({host}, '.')[-1]",
     },
 }
-FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "hyphens", "dots", "parameters", "entropy", "longest_part", "suffix_rate", "known_bad_parts")
+FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "hyphens", "dots", "parameters", "entropy", "longest_part", "suffix_rate")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Share of blocked URLs by the last part of the host, parts of hosts that are mostly blocked, and the trees."""
+    """Share of blocked URLs by the last part of the host, and the trees."""
 
     suffixes: tuple[tuple[str, float], ...]
     prior: float
-    parts: tuple[str, ...]
     trees: gbt.Trees
 
-    def feature_sql(self, dialect: str) -> dict[str, str]:
-        d = _DIALECTS[dialect]
+    def feature_sql(self, dialect: str, url: str = "url", host: str = "host", path: str = "path") -> dict[str, str]:
+        """SQL of each feature, of columns with these names."""
+        d = {k: v.format(url=url, host=host, path=path) for k, v in _DIALECTS[dialect].items()}
         count = lambda text, sign: f"(length({text}) - length(replace({text}, '{sign}', '')))"
         cases = " ".join(f"WHEN '{s}' THEN {r!r}" for s, r in self.suffixes)
-        words = ", ".join(f"'{w}'" for w in self.parts) or "''"
+        rate = f"CASE {d['last']} {cases} ELSE {self.prior!r} END" if cases else repr(self.prior)
         made = {
-            "length": "length(url)",
-            "host_length": "length(host)",
-            "path_length": "length(path)",
-            "depth": count("path", "/"),
-            "digit_ratio": "CASE WHEN length(url) = 0 THEN 0 ELSE CAST(length(url) - length(translate(url, '0123456789', '')) AS double) / length(url) END",
-            "host_digits": "length(host) - length(translate(host, '0123456789', ''))",
-            "hyphens": count("host", "-"),
-            "dots": count("host", "."),
-            "parameters": count("url", "="),
-            "entropy": f"CASE WHEN length(host) = 0 THEN 0 ELSE round({d['entropy']}, 6) END",
+            "length": f"length({url})",
+            "host_length": f"length({host})",
+            "path_length": f"length({path})",
+            "depth": count(path, "/"),
+            "digit_ratio": f"CASE WHEN length({url}) = 0 THEN 0 ELSE CAST(length({url}) - length(translate({url}, '0123456789', '')) AS double) / length({url}) END",
+            "host_digits": f"length({host}) - length(translate({host}, '0123456789', ''))",
+            "hyphens": count(host, "-"),
+            "dots": count(host, "."),
+            "parameters": count(url, "="),
+            "entropy": f"CASE WHEN length({host}) = 0 THEN 0 ELSE round({d['entropy']}, 6) END",
             "longest_part": f"coalesce({d['longest']}, 0)",
-            "suffix_rate": f"CASE {d['last']} {cases} ELSE {self.prior!r} END",
-            "known_bad_parts": d["count_in"].format(parts=d["parts"], words=words),
+            "suffix_rate": rate,
         }
         return {k: f"CAST({v} AS double)" for k, v in made.items()}
 
-    def margin_sql(self) -> str:
-        """The trees' sum in SQL that both dialects read, of columns named as the features."""
+    def margin_sql(self, names: Sequence[str] = FEATURES) -> str:
+        """The trees' sum in SQL that both dialects read, of columns with these names for FEATURES."""
 
         def tree(t: int, node: int) -> str:
             inner = self.trees.feature.shape[1]
@@ -154,7 +178,7 @@ class Model:
             bound = self.trees.bound[t, node]
             if not math.isfinite(bound):
                 return tree(t, 2 * node + 1)
-            return f"CASE WHEN {FEATURES[self.trees.feature[t, node]]} > {float(bound)!r} THEN {tree(t, 2 * node + 2)} ELSE {tree(t, 2 * node + 1)} END"
+            return f"CASE WHEN {names[self.trees.feature[t, node]]} > {float(bound)!r} THEN {tree(t, 2 * node + 2)} ELSE {tree(t, 2 * node + 1)} END"
 
         return f"CAST({self.trees.base!r} AS double) + " + " + ".join(f"({tree(t, 0)})" for t in range(len(self.trees.leaf)))
 
@@ -166,7 +190,7 @@ def _split(url: str | None) -> tuple[str, str]:
     return rest[:stop].translate(str.maketrans(UPPER, LOWER)), path[: min((i for c in "?#" if (i := path.find(c)) >= 0), default=len(path))]
 
 
-def _features(url: str, suffixes: dict[str, float], prior: float, parts: set[str]) -> list[float]:
+def _features(url: str, suffixes: dict[str, float], prior: float) -> list[float]:
     """FEATURES of a labelled URL, as feature_sql() has them."""
     host, path = _split(url)
     pieces = host.replace("-", ".").split(".")
@@ -174,7 +198,7 @@ def _features(url: str, suffixes: dict[str, float], prior: float, parts: set[str
     digits = sum(c in "0123456789" for c in url)
     return [
         len(url), len(host), len(path), path.count("/"), digits / len(url) if url else 0, sum(c in "0123456789" for c in host), host.count("-"), host.count("."),
-        url.count("="), round(-sum(x * math.log(x) for x in p), 6) if p else 0, max(map(len, pieces)), suffixes.get(host.split(".")[-1], prior), sum(x in parts for x in pieces),
+        url.count("="), round(-sum(x * math.log(x) for x in p), 6) if p else 0, max(map(len, pieces)), suffixes.get(host.split(".")[-1], prior),
     ]
 
 
@@ -182,21 +206,17 @@ def train(labelled: Sequence[tuple[str, int]]) -> Model:
     """A model of at most SAMPLE_URLS labelled URLs (url, 1: block); the rest, of a longer list, is left out evenly."""
     labelled = labelled[:: -(-len(labelled) // SAMPLE_URLS) or 1]
     prior = (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
-    seen, bad, parts, bad_parts = Counter(), Counter(), Counter(), Counter()
+    seen, bad = Counter(), Counter()
     for url, y in labelled:
-        host = _split(url)[0]
-        seen[host.split(".")[-1]] += 1
-        bad[host.split(".")[-1]] += y
-        for x in set(host.replace("-", ".").split(".")):
-            parts[x] += 1
-            bad_parts[x] += y
+        last = _split(url)[0].split(".")[-1]
+        seen[last] += 1
+        bad[last] += y
     plain = lambda s: s.replace("-", "").isalnum() and s.isascii()
     suffixes = {s: round((bad[s] + 10 * prior) / (n + 10), 4) for s, n in seen.most_common(100) if n >= 20 and plain(s)}
-    known = {x for x, n in parts.most_common(500) if n >= 5 and bad_parts[x] > 0.8 * n and plain(x)}
-    # half of the URLs show the trees the parts as unknown, so that they learn to judge new hosts by their form
-    x = np.array([_features(u, suffixes, prior, known if i % 2 else set()) for i, (u, _) in enumerate(labelled)])
-    trees = gbt.fit(x, np.array([y for _, y in labelled]), trees=25, depth=3, rate=0.3)
-    return Model(tuple(sorted(suffixes.items())), round(prior, 4), tuple(sorted(known)), trees)
+    # a third of the URLs show the trees their suffix as unknown, so that other signs count for new ones
+    x = np.array([_features(u, suffixes if i % 3 else {}, prior) for i, (u, _) in enumerate(labelled)])
+    trees = gbt.fit(x, np.array([y for _, y in labelled]), trees=30, depth=3, rate=0.3)
+    return Model(tuple(sorted(suffixes.items())), round(prior, 4), trees)
 
 
 @lru_cache
@@ -204,9 +224,9 @@ def default_model() -> Model:
     return train(labelled_urls())
 
 
-def host_and_path(url: str = "url", dialect: str = "spark") -> tuple[str, str]:
-    """SQL for the host, A to Z lowered, and the path of a URL; both empty for null and without ``://``."""
-    get = lambda g: f"coalesce({_DIALECTS[dialect]['extract'].format(pattern=_PATTERN, group=g).replace('(url,', f'({url},')}, '')"
+def host_and_path(url: str = "url") -> tuple[str, str]:
+    """SQL of both dialects for the host, A to Z lowered, and the path of a URL; both empty for null and without ``://``."""
+    get = lambda g: f"coalesce(regexp_extract({url}, '{_PATTERN}', {g}), '')"
     return f"translate({get(1)}, '{UPPER}', '{LOWER}')", get(2)
 
 
@@ -227,27 +247,25 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, model: Model | N
     and whose path the URL's begins with; rule is its text. Where none fits, rule is
     null, and the trees decide: block if the log-odds are above 0. Null and empty URLs,
     and those without ``://``, have an empty host and path, and the trees judge them as
-    they do any other; equal URLs get equal verdicts. An empty table stays empty.
+    they do any other; equal URLs get equal verdicts. Rows may repeat. An empty table
+    stays empty.
     """
     model = model or default_model()
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = host_and_path("__in")
-    df = pages.select(*kept, F.coalesce(F.col("url").cast("string"), F.lit("")).alias("__in"))
-    df = df.select(*kept, "__in", F.expr(host).alias("host"), F.expr(path).alias("path"))
-    df = df.select(*kept, "host", "path", F.expr(rule_sql(rules, "text")).alias("rule"), F.expr(rule_sql(rules, "verdict")).alias("__sure"), "__in")
-    made = {k: v.replace("url", "__in") for k, v in model.feature_sql("spark").items()}
-    df = df.select("*", *(F.expr(v).alias(f"__{k}") for k, v in made.items()))
-    margin = model.margin_sql()
-    for k in sorted(FEATURES, key=len, reverse=True):
-        margin = margin.replace(f"WHEN {k} >", f"WHEN __{k} >")
-    verdict = F.coalesce(F.col("__sure"), F.when(F.expr(margin) > 0, "block").otherwise("allow"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    url, sure, *names = (free_name(pages, x) for x in ("url_in", "sure", *FEATURES))
+    host, path = host_and_path(url)
+    df = pages.withColumn(url, F.coalesce(F.col("url").cast("string"), F.lit(""))).select(*kept, F.col(url))
+    df = df.select(*kept, url, F.expr(host).alias("host"), F.expr(path).alias("path"))
+    made = model.feature_sql("spark", url)
+    df = df.select("*", F.expr(rule_sql(rules, "text")).alias("rule"), F.expr(rule_sql(rules, "verdict")).alias(sure), *(F.expr(made[k]).alias(n) for k, n in zip(FEATURES, names, strict=True)))
+    verdict = F.coalesce(F.col(sure), F.when(F.expr(model.margin_sql(names)) > 0, "block").otherwise("allow"))
     return df.select(*kept, "host", "path", "rule", verdict.alias("verdict"))
 
 
 def oracle_sql(rules: Sequence[Rule] = RULES) -> str:
     """The verdicts of default_model() in DuckDB SQL, for the table pages."""
     model = default_model()
-    host, path = host_and_path("url", "duckdb")
+    host, path = host_and_path("url")
     made = ", ".join(f"{v} AS {k}" for k, v in model.feature_sql("duckdb").items())
     return f"""
 WITH split AS (SELECT page_id, coalesce(url, '') AS url, {host} AS host, {path} AS path FROM pages),
