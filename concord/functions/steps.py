@@ -51,17 +51,32 @@ def run_seed(base: int, index: Column, stride: int, repeat: Column) -> Column:
     return (F.lit(base) + index * F.lit(stride) + repeat).cast("long")
 
 
-def worker_seed(base: int, rank: int, stride: int = 1_000_003) -> int:
-    return base + rank * stride
+#: How far apart the seeds of two workers of a pathway are.
+WORKER_STRIDES = {"text": 1_000_003, "image": 1_000_003, "edit": 1, "video": 1_000_003}
+
+
+def worker_seed(base: int, rank: int, pathway: str = "text") -> int:
+    return base + rank * WORKER_STRIDES[pathway]
+
+
+def frame_noise(frame: Column, prefix_frames: int, level: float = 1.0, continuation_only: bool = True) -> Column:
+    """Noise of a latent frame, from 0: none in those of the prefix if only the continuation is noised."""
+    if not continuation_only:
+        return F.lit(float(level))
+    return F.when(frame < latent_prefix(F.lit(prefix_frames)), F.lit(0.0)).otherwise(F.lit(float(level)))
+
+
+def denoise_strength(strength: float, level: float, start_step: int | None = None) -> float:
+    """The strength of a run: 0 where nothing is noised and no first step is given, so that latents stay as they are."""
+    return 0.0 if start_step is None and level <= 0 else float(strength)
 
 
 def crop_size(width: Column, height: Column, to_width: int, to_height: int) -> tuple[Column, Column]:
-    """Width and height of the largest centred crop with the proportions of to_width by to_height."""
-    wide = width * to_height > height * to_width
-    return (
-        F.when(wide, F.floor(height * to_width / to_height)).otherwise(width).cast("int"),
-        F.when(wide, height).otherwise(F.floor(width * to_height / to_width)).cast("int"),
-    )
+    """Width and height, of 1 at least, of the largest centred crop with the proportions of to_width by to_height."""
+    ratio = F.lit(float(to_width) / float(to_height))
+    narrow = width < height * ratio
+    cut = lambda x: F.greatest(F.floor(x), F.lit(1)).cast("int")
+    return F.when(narrow, width.cast("int")).otherwise(cut(height * ratio)), F.when(narrow, cut(width / ratio)).otherwise(height.cast("int"))
 
 
 def parse_image_size(text: str | None) -> tuple[int, int] | None:

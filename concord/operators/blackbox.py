@@ -31,7 +31,7 @@ def access_mode(value: AccessMode | str) -> AccessMode:
 
 def _check_k(k: int) -> None:
     if isinstance(k, bool) or not isinstance(k, int):
-        raise TypeError("k must be an integer")
+        raise TypeError(f"k is no integer: {k!r}")
     if k < 1:
         raise ValueError("k must be at least 1")
 
@@ -40,12 +40,15 @@ def step_views(embeddings: DataFrame, k: int = 1) -> DataFrame:
     """(sample_id, pathway, step, exp, pess, opt): means over pairs of queries; of all, of the k smallest, of the k largest cosines."""
     _check_k(k)
     z = unit(F.col("z").cast("array<double>"))
-    rows = embeddings.select("sample_id", "pathway", "query", "step", z.alias("z"))
+    # the steps that a query's call showed come with its rows, so checking them needs no second look at the outputs
+    steps = F.col("steps") if "steps" in embeddings.columns else F.lit(0)
+    rows = embeddings.select("sample_id", "pathway", "query", "step", z.alias("z"), steps.alias("steps"))
     runs = F.array_sort(F.collect_list(F.struct("query", "z")))
-    groups = rows.groupBy("sample_id", "pathway", "step").agg(runs.alias("runs"))
-    few = F.raise_error(F.lit("at least two independent queries are required")).cast("array<double>")
+    groups = rows.groupBy("sample_id", "pathway", "step").agg(runs.alias("runs"), F.min("steps").alias("least"), F.max("steps").alias("most"))
+    few = F.raise_error(F.lit("a sample needs the outputs of two queries or more")).cast("array<double>")
+    uneven = F.raise_error(F.lit("the queries of a sample showed different numbers of steps")).cast("array<double>")
     each = F.transform("runs", lambda a: F.transform(F.filter("runs", lambda b: b["query"] > a["query"]), lambda b: dot(a["z"], b["z"])))
-    sims = F.when(F.size("runs") < 2, few).otherwise(F.flatten(each))
+    sims = F.when(F.col("least") != F.col("most"), uneven).when(F.size("runs") < 2, few).otherwise(F.flatten(each))
     df = groups.select("sample_id", "pathway", "step", sims.alias("sims"))
     pess, opt = (mean_extreme_strict(F.col("sims"), k, largest, "pairs") for largest in (False, True))
     return df.select("sample_id", "pathway", "step", mean(F.col("sims")).alias("exp"), pess.alias("pess"), opt.alias("opt"))
@@ -99,13 +102,13 @@ def query_outputs(
     repeats: int,
     mode: AccessMode | str,
 ) -> DataFrame:
-    """(sample_id, pathway, query, step, output string): each sample queried ``repeats`` times on each pathway.
+    """(sample_id, pathway, query, step, output string, steps): each sample queried ``repeats`` times on each pathway; steps, how many its call showed.
 
     Each (sample, pathway, repeat) is a row before the interface is called, so calls
     are dealt over all tasks and a lost task repeats only its own.
     """
     if repeats < 2:
-        raise ValueError("repeats must be at least two")
+        raise ValueError(f"every sample must be queried twice or more, not {repeats} times")
     if not pathways:
         raise ValueError("at least one pathway is required")
     access = access_mode(mode)
@@ -118,14 +121,18 @@ def query_outputs(
                 got = target_api(query_builder(row, row["pathway"]), row["pathway"], access)
                 if access is AccessMode.MULTI_STEP and (isinstance(got, str | bytes) or not isinstance(got, Sequence) or not got):
                     raise ValueError("each multi-step call must return an ordered, non-empty sequence of outputs")
-                out += [(row["sample_id"], row["pathway"], row["query"], s, str(o)) for s, o in enumerate(got if access is AccessMode.MULTI_STEP else [got])]
-            yield pd.DataFrame(out, columns=["sample_id", "pathway", "query", "step", "output"])
+                shown = list(got) if access is AccessMode.MULTI_STEP else [got]
+                out += [(row["sample_id"], row["pathway"], row["query"], s, str(o), len(shown)) for s, o in enumerate(shown)]
+            yield pd.DataFrame(out, columns=["sample_id", "pathway", "query", "step", "output", "steps"])
 
-    return calls.mapInPandas(run, "sample_id long, pathway string, query int, step int, output string")
+    return calls.mapInPandas(run, "sample_id long, pathway string, query int, step int, output string, steps int")
 
 
 def equal_steps(outputs: DataFrame) -> DataFrame:
-    """``outputs`` if all queries of a sample and pathway show the same steps; else an error when it is run."""
+    """A table of ``outputs`` if all queries of a sample and pathway show the same steps; else an error when it is run.
+
+    For tables that are there already: ``outputs`` is read twice.
+    """
     runs = outputs.groupBy("sample_id", "pathway", "query").agg(F.count_distinct("step").alias("n"))
     spread = runs.groupBy("sample_id", "pathway").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sure = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("all executions must expose the same steps")).cast("boolean")).otherwise(F.lit(True))
@@ -133,6 +140,6 @@ def equal_steps(outputs: DataFrame) -> DataFrame:
 
 
 def query_and_extract(samples, pathways, query_builder, target_api, encoder, repeats, mode, k=1) -> DataFrame:
-    """(sample_id, membership_score): queries, encodes and scores every sample."""
-    outputs = equal_steps(query_outputs(samples, pathways, query_builder, target_api, repeats, mode))
+    """(sample_id, membership_score): queries, encodes and scores every sample; each query is made once."""
+    outputs = query_outputs(samples, pathways, query_builder, target_api, repeats, mode)
     return membership_scores(pathway_features(encode(outputs, encoder), mode, k), pathways)

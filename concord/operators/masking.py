@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.steps import mask_size
-from concord.functions.vectors import logsumexp
 
 #: (low, high) of a domain's token ids: text [0, end), image [end, vocabulary), all.
 DOMAINS = ("text", "image", "all")
@@ -70,19 +69,33 @@ def top_tokens(logits: DataFrame, d: int, allowed: DataFrame | None = None, stri
     return top.withColumn("rank", F.when(have < d, short).otherwise(F.col("rank")))
 
 
+#: Logits are summed up as exponentials relative to multiples of this.
+_SPAN = 64
+
+
+def _log_sums(logits: DataFrame) -> DataFrame:
+    """(sample_id, pos, lse): the log of the sum of exponentials of each position.
+
+    Exponentials are summed by spans of logits, relative to the span, so sums are
+    partial, need no maximum first and can't overflow; a position's few spans are put
+    together at the end, and no list of a vocabulary is made.
+    """
+    span = F.floor(F.col("logit") / _SPAN).cast("double")
+    spans = logits.groupBy("sample_id", "pos", span.alias("span")).agg(F.sum(F.exp(F.col("logit") - F.floor(F.col("logit") / _SPAN).cast("double") * _SPAN)).alias("sum"))
+    parts = spans.groupBy("sample_id", "pos").agg(F.collect_list(F.struct("span", "sum")).alias("parts"), F.max("span").alias("top"))
+    total = F.aggregate("parts", F.lit(0.0).cast("double"), lambda s, p: s + p["sum"] * F.exp((p["span"] - F.col("top")) * _SPAN))
+    return parts.select("sample_id", "pos", (F.log(total) + F.col("top") * _SPAN).alias("lse"))
+
+
 def candidate_probabilities(logits: DataFrame, candidates: DataFrame) -> DataFrame:
     """(sample_id, pos, token_id, p): softmax probabilities, over the whole vocabulary, of the candidates only."""
-    norms = logits.groupBy("sample_id", "pos").agg(F.collect_list("logit").alias("all")).select("sample_id", "pos", logsumexp(F.col("all")).alias("lse"))
     chosen = logits.join(candidates.select("sample_id", "pos", "token_id"), ["sample_id", "pos", "token_id"], "left_semi")
-    return chosen.join(norms, ["sample_id", "pos"]).select("sample_id", "pos", "token_id", F.exp(F.col("logit") - F.col("lse")).alias("p"))
+    return chosen.join(_log_sums(logits), ["sample_id", "pos"]).select("sample_id", "pos", "token_id", F.exp(F.col("logit") - F.col("lse")).alias("p"))
 
 
 def token_log_probabilities(logits: DataFrame) -> DataFrame:
-    """(sample_id, pos, token_id, logp) of every token; sums of exponentials are partial, by position."""
-    tops = logits.groupBy("sample_id", "pos").agg(F.max("logit").alias("top"))
-    scaled = logits.join(tops, ["sample_id", "pos"])
-    norms = scaled.groupBy("sample_id", "pos").agg((F.max("top") + F.log(F.sum(F.exp(F.col("logit") - F.col("top"))))).alias("lse"))
-    return logits.join(norms, ["sample_id", "pos"]).select("sample_id", "pos", "token_id", (F.col("logit") - F.col("lse")).alias("logp"))
+    """(sample_id, pos, token_id, logp) of every token."""
+    return logits.join(_log_sums(logits), ["sample_id", "pos"]).select("sample_id", "pos", "token_id", (F.col("logit") - F.col("lse")).alias("logp"))
 
 
 def _order(*parts: Column | str, seed: int) -> Column:
@@ -90,12 +103,14 @@ def _order(*parts: Column | str, seed: int) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def choose_masks(positions: DataFrame, trajectories: int, ratio: float, seed: int = 1234) -> DataFrame:
-    """(sample_id, traj, pos): positions to mask, without replacement, for each trajectory.
+def choose_masks(positions: DataFrame, trajectories: int, ratio: float, seed: int = 1234, region: Column | None = None) -> DataFrame:
+    """(sample_id, traj, pos): positions to mask, without replacement, for each trajectory; with ``region``, of its positions only.
 
     The order is that of a hash of (sample, trajectory, position, seed), so a choice is
     the same wherever and however often it is made.
     """
+    if region is not None:
+        positions = positions.where(region)
     counts = positions.groupBy("sample_id").agg(F.count("*").alias("n")).select("sample_id", mask_size(F.col("n"), ratio).alias("k"))
     rows = positions.select("sample_id", "pos").withColumn("traj", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1))))
     w = Window.partitionBy("sample_id", "traj").orderBy(_order("sample_id", "traj", "pos", seed=seed), "pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,39 +17,57 @@ def mean_ranks(df: DataFrame, score: str = "score") -> DataFrame:
     return df.join(ranks, df[score].eqNullSafe(ranks["__score"])).drop("__score")
 
 
-#: Scores are cut into so many runs for each doubling before they are sorted.
-_RUNS_AN_OCTAVE = 16
+#: Runs of scores in each doubling: as powers of two, for sums within runs and for sums over groups of runs.
+_FINE, _COARSE = 20, 10
+
+
+def _run(score: str) -> Column:
+    """A number that grows with the score and is one for scores that agree in the first _FINE bits of their mantissa."""
+    x = F.least(F.abs(F.col(score)).cast("double"), F.lit(1.7e308))
+    exponent = F.greatest(F.floor(F.log2(F.greatest(x, F.lit(1e-300)))), F.lit(-60))
+    share = F.floor((x / F.pow(F.lit(2.0), exponent.cast("double")) - 1) * F.lit(1 << _FINE))
+    size = (exponent + F.lit(61)) * F.lit(1 << _FINE) + share
+    number = F.when(F.col(score) < 0, -size - 1).otherwise(size).cast("long")
+    return F.when(F.col(score).isNull(), F.lit(-(1 << 62))).when(F.isnan(F.col(score).cast("double")), F.lit(1 << 61)).otherwise(number)
 
 
 def _running(counts: DataFrame, score: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """``counts`` (one row a score) with, for each column c, c_before: its sum over lower scores.
+    """``counts`` (one row a score) with, for each column c, c_before: its sum over lower scores; null is the lowest.
 
-    Sums are taken within runs of scores and over the few runs, so that no task sees
-    all scores. Runs are ranges of the score's logarithm, which need no sample.
+    Sums are taken within runs of scores that lie very close, over the runs of each
+    group of them, and over the few groups, so no task sees all scores, wherever they
+    crowd. Runs follow from the score alone and need no sample.
     """
-    size = F.least(F.log2(F.lit(1.0) + F.abs(F.col(score)) * 1e6), F.lit(1100.0))
-    run = F.floor(F.signum(F.col(score)) * size * _RUNS_AN_OCTAVE).cast("long")
-    df = counts.withColumn("__run", run)
-    within = Window.partitionBy(*by, "__run").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*by, "__run").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
-    over = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "__run", *(F.coalesce(F.sum(f"__{c}").over(over), F.lit(0)).alias(f"__{c}_start") for c in columns))
-    df = df.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__{c}_within") for c in columns))
-    df = df.join(starts, [*by, "__run"])
-    return df.select(*counts.columns, *((F.col(f"__{c}_start") + F.col(f"__{c}_within")).alias(f"{c}_before") for c in columns))
+    unbounded = Window.unboundedPreceding
+
+    def before(df: DataFrame, names: list[str], keys: list[str], order: str, suffix: str) -> DataFrame:
+        over = Window.partitionBy(*keys).orderBy(order).rowsBetween(unbounded, -1)
+        return df.select("*", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}{suffix}") for c in names))
+
+    sums = [f"__{c}" for c in columns]
+    df = counts.withColumn("__run", _run(score))
+    runs = df.groupBy(*by, "__run").agg(*(F.sum(c).alias(s) for c, s in zip(columns, sums, strict=True)))
+    runs = runs.withColumn("__group", F.floor(F.col("__run") / (1 << (_FINE - _COARSE))))
+    groups = runs.groupBy(*by, "__group").agg(*(F.sum(s).alias(s) for s in sums))
+    groups = before(groups, sums, list(by), "__group", "_low").drop(*sums)
+    runs = before(runs, sums, [*by, "__group"], "__run", "_start").drop(*sums).join(groups, [*by, "__group"])
+    df = before(df, columns, [*by, "__run"], score, "_within").join(runs, [*by, "__run"])
+    return df.select(*counts.columns, *((F.col(f"__{c}_low") + F.col(f"__{c}_start") + F.col(f"{c}_within")).alias(f"{c}_before") for c in columns))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., auc): the probability that a row of label 1 scores above one of label 0, ties counting half.
 
-    Other labels count in neither class. NaN where a class has no row. A NaN score is
-    an error, as it has no rank; rows with a null label or score are left out.
+    It is taken from the ranks of all rows, so rows of other labels are of neither class
+    but do take ranks. NaN where a class has no row. A NaN score is an error, as it has no
+    rank; rows with a null label or score are left out.
     """
     value = F.when(F.isnan(score), F.raise_error(F.lit("scores must not be NaN")).cast("double")).otherwise(F.col(score).cast("double") + F.lit(0.0))
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("__label"), value.alias("__score"))
-    counts = rows.groupBy(*by, "__score").agg(F.sum((F.col("__label") == 1).cast("long")).alias("p"), F.sum((F.col("__label") == 0).cast("long")).alias("n"))
-    # both counts are summed up, so that the two places that need them share one scan and shuffle
-    counts = _running(counts, "__score", ["p", "n"], by)
-    wins = F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2))
-    total = F.max(F.col("p_before") + F.col("p")).cast("double") * F.max(F.col("n_before") + F.col("n"))
-    return counts.groupBy(*by).agg(F.coalesce(F.when(total > 0, wins / F.when(total > 0, total)), F.lit(float("nan"))).alias("auc"))
+    number = lambda test: F.sum(test.cast("long"))
+    counts = rows.groupBy(*by, "__score").agg(number(F.col("__label") == 1).alias("p"), number(F.col("__label") == 0).alias("n"), F.count("*").alias("a"))
+    counts = _running(counts, "__score", ["a"], by)
+    ranks = F.sum(F.col("p") * (F.col("a_before") + (F.col("a") + 1) / 2))
+    p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
+    auc = F.when((p > 0) & (n > 0), (ranks - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0.0)))
+    return counts.groupBy(*by).agg(F.coalesce(auc, F.lit(float("nan"))).alias("auc"))

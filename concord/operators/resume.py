@@ -104,8 +104,8 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 
 def check_config(stored: Mapping, current: Mapping, free: tuple[str, ...] = FREE_SETTINGS) -> None:
-    """Raises an error if a run can't go on under the current settings."""
-    differ = sorted(k for k in {*stored, *current} if k not in free and stored.get(k) != current.get(k))
+    """Raises an error if a run can't go on under the current settings; a setting that only one of both has is no obstacle."""
+    differ = sorted(k for k in stored if k in current and k not in free and stored[k] != current[k])
     if differ:
         raise ValueError(f"the stored configuration differs in {', '.join(differ)}")
 

@@ -29,10 +29,14 @@ def melt(matrices: DataFrame) -> DataFrame:
     """(sample_id, label, pair_type, i, j, frame, sim) of matrices (sample_id, label, row_map, matrix).
 
     ``row_map`` is an array of (pair_type, i, j), one a row of ``matrix``; unequal
-    lengths, and an empty matrix, are errors.
+    lengths, an empty matrix, and a row map without a pair of generations are errors.
     """
-    wrong = (F.size("row_map") != F.size("matrix")) | (F.size("matrix") == 0) | (F.size(F.element_at("matrix", 1)) == 0)
-    sure = F.when(wrong, F.raise_error(F.concat(F.lit("the row map must fit a non-empty matrix: sample "), F.col("sample_id").cast("string"))).cast(matrices.schema["matrix"].dataType)).otherwise(F.col("matrix"))
+    empty = (F.size("matrix") == 0) | (F.size(F.get("matrix", F.lit(0))) == 0)
+    problem = F.when((F.size("row_map") != F.size("matrix")) | empty, "the row map must fit a non-empty matrix").when(
+        ~F.exists("row_map", lambda m: m["pair_type"] == "gen_gen"), "the row map has no pair of generations"
+    )
+    message = F.concat(problem, F.lit(": sample "), F.col("sample_id").cast("string"))
+    sure = F.when(problem.isNotNull(), F.raise_error(message).cast(matrices.schema["matrix"].dataType)).otherwise(F.col("matrix"))
     rows = matrices.select("sample_id", "label", F.posexplode(F.arrays_zip(F.col("row_map").alias("m"), sure.alias("x"))).alias("row", "e"))
     rows = rows.select("sample_id", "label", F.col("e.m.pair_type").alias("pair_type"), F.col("e.m.i").alias("i"), F.col("e.m.j").alias("j"), F.posexplode("e.x").alias("frame", "sim"))
     return rows.withColumn("sim", F.col("sim").cast("double"))

@@ -48,13 +48,22 @@ def read_sample_folders(spark: SparkSession, path: str) -> DataFrame:
     return last_of_each(rows, "folder")
 
 
+def _artifacts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+
+def _first_position(z) -> int:
+    """Where in the sequence an artifact's positions begin: that of allowed_range, else 0."""
+    return int(z["allowed_range"][0]) if "allowed_range" in z.files else 0
+
+
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, traj, step, pos, v, selected) of compressed trajectory artifacts (*.npz) below a folder.
 
     A row is a vector of trajectory_probabilities [trajectories, steps, positions, d];
-    selected is its position's entry of semantic_position_mask.
+    selected is its position's entry of semantic_position_mask. Positions count from the
+    start of allowed_range, where an artifact has one.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,14 +73,13 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
                 mask = np.asarray(z["semantic_position_mask"], bool)
                 t, s, n, _ = p.shape
                 i, j, k = (x.ravel() for x in np.indices((t, s, n)))
-                yield pd.DataFrame({"path": name, "traj": i, "step": j, "pos": k, "v": list(p.reshape(t * s * n, -1)), "selected": mask[k]})
+                yield pd.DataFrame({"path": name, "traj": i, "step": j, "pos": k + _first_position(z), "v": list(p.reshape(t * s * n, -1)), "selected": mask[k]})
 
-    return files.mapInPandas(run, "path string, traj int, step int, pos int, v array<double>, selected boolean")
+    return _artifacts(spark, path).mapInPandas(run, "path string, traj int, step int, pos int, v array<double>, selected boolean")
 
 
 def read_artifact_candidates(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, rank, token_id, logp) of the same artifacts: candidate_ids and observed_token_log_probabilities."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,6 +87,18 @@ def read_artifact_candidates(spark: SparkSession, path: str) -> DataFrame:
                 z = np.load(io.BytesIO(content))
                 ids, logp = np.asarray(z["candidate_ids"]), np.asarray(z["observed_token_log_probabilities"], np.float64)
                 i, j = (x.ravel() for x in np.indices(ids.shape))
-                yield pd.DataFrame({"path": name, "pos": i, "rank": j, "token_id": ids.ravel(), "logp": logp[i]})
+                yield pd.DataFrame({"path": name, "pos": i + _first_position(z), "rank": j, "token_id": ids.ravel(), "logp": logp[i]})
+
+    return _artifacts(spark, path).mapInPandas(run, "path string, pos int, rank int, token_id int, logp double")
+
+
+def read_artifact_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, end): allowed_range of the same artifacts; null where one has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.load(io.BytesIO(c)) for c in b["content"]]
+            ranges = [tuple(map(int, z["allowed_range"])) if "allowed_range" in z.files else (None, None) for z in found]
+            yield pd.DataFrame({"path": b["path"], "start": pd.array([r[0] for r in ranges], "Int32"), "end": pd.array([r[1] for r in ranges], "Int32")})
 
-    return files.mapInPandas(run, "path string, pos int, rank int, token_id int, logp double")
+    return _artifacts(spark, path).mapInPandas(run, "path string, start int, end int")

@@ -64,14 +64,14 @@ def read_records(spark: SparkSession, path: str, columns: dict[str, str], label_
     lines = _lines(spark, path).where(_FILLED)
     rows = number_lines(lines)
     if limit is not None:
-        rows = rows.where(F.col("ordinal") < limit)
+        rows = first_records(rows, limit, "ordinal")
     if malformed == "raise":
         # in the value itself, so that no later filter can drop the row before it fails
         message = F.concat(F.lit("invalid JSON at record "), F.col("ordinal").cast("string"))
         rows = rows.withColumn("value", F.when(F.try_parse_json("value").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("value")))
     raw = _raw_fields("value", [*columns.values(), label_key])
     found = rows.select(F.col("ordinal").alias("sample_id"), *(_string(r).alias(c) for r, c in zip(raw, columns, strict=False)), label_to_int(raw[-1]).alias("label"))
-    return found.dropna(subset=[*columns, "label"])
+    return with_required(found, [*columns, "label"])
 
 
 def read_text_records(spark: SparkSession, path: str, text_key: str = "text", label_key: str = "label", limit: int | None = None) -> DataFrame:
@@ -89,6 +89,16 @@ def read_edit_records(spark: SparkSession, path: str, input_key: str = "input_pa
     return read_records(spark, path, {"input_path": input_key, "output_path": output_key, "instruction": instruction_key}, label_key, limit, "skip")
 
 
+def first_records(records: DataFrame, n: int, ordinal: str = "sample_id") -> DataFrame:
+    """The records with the first ``n`` ordinals. It is no limit(): ids stay the same, and records that are left out count."""
+    return records.where(F.col(ordinal) < n)
+
+
+def with_required(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Records in which none of the columns is null."""
+    return records.dropna(subset=list(columns))
+
+
 def read_video_records(spark: SparkSession, path: str, max_samples: int | None = None) -> DataFrame:
     """(sample_id, line_idx, label string, video_path).
 
@@ -108,11 +118,13 @@ def read_video_records(spark: SparkSession, path: str, max_samples: int | None =
     return found.join(F.broadcast(last), F.col("line_idx") <= F.col("__last")).drop("__last")
 
 
-def read_json_array(spark: SparkSession, path: str, columns: dict[str, str], label_key: str = "label", wrapped: bool = True, limit: int | None = None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, columns: dict[str, str], label_key: str = "label", wrapped: bool = True, limit: int | None = None, strict_label: bool = False) -> DataFrame:
     """The same columns of a file that holds one JSON list, or, if ``wrapped``, an object with the list as data.
 
     sample_id is the place in the list; elements that are not objects are left out but
-    counted. The list is one value, as such a file has to be parsed as a whole.
+    counted. A record with a label that is no integer is left out, or, with
+    ``strict_label``, an error. The list is one value, as such a file has to be parsed as
+    a whole.
     """
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     as_list = F.expr("try_variant_get(v, '$', 'array<variant>')")
@@ -121,10 +133,28 @@ def read_json_array(spark: SparkSession, path: str, columns: dict[str, str], lab
     sure = F.when(found.isNull(), F.raise_error(F.lit("the file holds no list of records")).cast("array<variant>")).otherwise(found)
     rows = whole.select(F.posexplode(sure).alias("ordinal", "element")).withColumn("value", F.to_json("element"))
     if limit is not None:
-        rows = rows.where(F.col("ordinal") < limit)
+        rows = first_records(rows, limit, "ordinal")
     raw = _raw_fields("value", [*columns.values(), label_key])
-    found = rows.select(F.col("ordinal").cast("long").alias("sample_id"), *(_string(r).alias(c) for r, c in zip(raw, columns, strict=False)), label_to_int(raw[-1]).alias("label"))
-    return found.dropna(subset=[*columns, "label"])
+    label = label_to_int(raw[-1])
+    if strict_label:
+        message = F.concat(F.lit("a label that is no integer at record "), F.col("ordinal").cast("string"))
+        label = F.when(raw[-1].isNotNull() & label.isNull(), F.raise_error(message).cast("long")).otherwise(label)
+    found = rows.select(F.col("ordinal").cast("long").alias("sample_id"), *(_string(r).alias(c) for r, c in zip(raw, columns, strict=False)), label.alias("label"))
+    return with_required(found, [*columns, "label"])
+
+
+def read_edit_array(spark: SparkSession, path: str, input_key: str = "input_path", output_key: str = "output_path", instruction_key: str = "instruction", label_key: str = "label", limit: int | None = None) -> DataFrame:
+    """read_edit_records() of a file that holds one JSON list; here a bad label is an error."""
+    return read_json_array(spark, path, {"input_path": input_key, "output_path": output_key, "instruction": instruction_key}, label_key, False, limit, True)
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """How many rows of input there are at most, for progress: lines, blank ones too, or elements of a file with one JSON list."""
+    if not path.endswith(".json"):
+        return spark.read.text(path).count()
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    lists = F.coalesce(F.expr("try_variant_get(v, '$', 'array<variant>')"), F.expr("try_variant_get(v, '$.data', 'array<variant>')"))
+    return whole.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
 
 
 def read_labelled_folders(spark: SparkSession, path: str, member: str = "member", other: str = "non-member") -> DataFrame:
@@ -137,8 +167,8 @@ def read_labelled_folders(spark: SparkSession, path: str, member: str = "member"
 EVIDENCE = "struct<expected:double,pessimistic:double,optimistic:double,membership_score:double,num_trajectories:int,num_pairs:int,num_steps:int,num_positions:int,aggregation_topk:int,pair_mean_similarities:array<double>>"
 
 
-def read_results(spark: SparkSession, path: str, label_key: str = "label") -> DataFrame:
-    """Result records of JSON lines: sample_id, label, status, membership_score, trajectory_evidence, shard_path, line_no.
+def read_results(spark: SparkSession, path: str, label_key: str = "label", extra: str | None = None) -> DataFrame:
+    """Result records of JSON lines: sample_id, label, status, membership_score, trajectory_evidence, ``extra`` fields, shard_path, line_no.
 
     Blank lines count but have no record. A line that is not a JSON object is an error
     that gives its number, from 1, in its file.
@@ -149,7 +179,7 @@ def read_results(spark: SparkSession, path: str, label_key: str = "label") -> Da
     good = _strip("value").startswith("{") & F.try_parse_json("value").isNotNull()
     wrong = F.raise_error(F.concat(F.lit("invalid record in "), F.col("file"), F.lit(" at line "), F.col("line_no").cast("string")))
     value = F.when(good, F.col("value")).otherwise(wrong.cast("string"))
-    schema = T.StructType.fromDDL(f"sample_id long, `{label_key}` long, status string, membership_score double, trajectory_evidence {EVIDENCE}")
+    schema = T.StructType.fromDDL(f"sample_id long, `{label_key}` long, status string, membership_score double, trajectory_evidence {EVIDENCE}{f', {extra}' if extra else ''}")
     parsed = rows.select(F.from_json(value, schema).alias("r"), F.col("file").alias("shard_path"), "line_no")
     return parsed.select("r.*", "shard_path", "line_no")
 

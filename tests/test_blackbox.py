@@ -48,7 +48,7 @@ def test_zero_vectors_and_single_queries_fail(spark):
     z[0] = 0
     with pytest.raises(Exception, match="zero vector"):
         blackbox.pathway_features(spark.createDataFrame(_rows(z), ROWS), "final_step").collect()
-    with pytest.raises(Exception, match="two independent queries"):
+    with pytest.raises(Exception, match="two queries or more"):
         blackbox.pathway_features(spark.createDataFrame(_rows(np.ones((1, 1, 2))), ROWS), "final_step").collect()
 
 
@@ -68,6 +68,24 @@ def test_queries_are_built_run_and_scored(spark):
         blackbox.query_and_extract(samples, ["p"], lambda r, p: 1, _answer, lambda outs: [[1.0]], 2, "multi_step").collect()
 
 
+def test_each_query_is_made_once_and_steps_are_checked(spark):
+    samples = spark.createDataFrame([(i, "x") for i in range(5)], "sample_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(query, pathway, mode):
+        calls.add(1)
+        return _answer(query, pathway, mode)
+
+    encoder = lambda outs: [[len(o), 1.0] for o in outs]
+    assert len(blackbox.query_and_extract(samples, ["p", "q"], lambda row, p: row["text"] + p, counting, encoder, 3, "multi_step", 2).collect()) == 5
+    assert calls.value == 5 * 2 * 3
+    uneven = lambda query, pathway, mode: ["a"] * (1 + query)
+    with pytest.raises(Exception, match="different numbers of steps"):
+        blackbox.query_and_extract(samples, ["p"], lambda row, p: int(row["query"]), uneven, encoder, 2, "multi_step").collect()
+    outputs = blackbox.query_outputs(samples, ["p"], lambda row, p: "x", _answer, 2, "multi_step")
+    assert blackbox.equal_steps(outputs).count() == 20
+
+
 def test_pathways_are_summed_and_required(spark):
     f = spark.createDataFrame([(1, "a", 1.0, 2.0, 3.0), (1, "b", 0.5, 0.5, 0.5)], "sample_id long, pathway string, exp double, pess double, opt double")
     assert blackbox.membership_scores(f).first().membership_score == 7.5

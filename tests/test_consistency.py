@@ -100,6 +100,37 @@ def test_tensor_checks(spark):
     assert set(found) == {1, 2, 3, 4, 5} and "finite" in found[1] and "grid" in found[2]
 
 
+@pytest.mark.parametrize(
+    ("rows", "message"),
+    [
+        (kernel.cells(np.array([[[[1.0, np.nan]]], [[[1.0, 1.0]]]])), "finite"),
+        (kernel.cells(np.array([[[[1.0, np.inf]]], [[[1.0, 1.0]]]])), "finite"),
+        ([(0, 0, 0, 0, [1.0, None]), (0, 1, 0, 0, [1.0, 2.0])], "finite"),
+        ([(0, 0, 0, 0, [1.0, 2.0]), (0, 1, 0, 0, [1.0])], "one length"),
+        ([*kernel.cells(np.ones((2, 1, 1, 2))), (0, 0, 1, 0, [1.0]), (0, 1, 1, 0, [1.0])], "one length"),
+        ([(0, 0, 0, 0, []), (0, 1, 0, 0, [])], "empty"),
+        ([(0, 0, 0, 0, None), (0, 1, 0, 0, [1.0])], "finite|empty"),
+        ([(0, t, s, 0, [1.0]) for s, ts in ((0, (0, 1)), (1, (0, 2))) for t in ts], "same two trajectories"),
+        ([(0, t, 0, 0, [1.0]) for t in (0, 0, 1, 1)], "same two trajectories"),
+        (kernel.cells(np.ones((2, 2, 2, 1)))[:-1], "same two trajectories"),
+        ([r for r in kernel.cells(np.ones((2, 2, 2, 1))) if r[2:4] != (1, 1)], "grid"),
+    ],
+)
+def test_bad_tensors_are_errors(spark, rows, message):
+    df = spark.createDataFrame(rows, kernel.CELLS)
+    with pytest.raises(Exception, match=message):
+        consistency.evidence(df).collect()
+    with pytest.raises(Exception, match=message):
+        consistency.pair_means(df).collect()
+
+
+def test_a_mask_that_selects_nothing_is_an_error(spark):
+    df = _table(spark, [np.ones((2, 1, 2, 2)), np.ones((2, 1, 2, 2))])
+    for mask in (spark.createDataFrame([(0, 1)], "sample_id long, pos int"), spark.createDataFrame([(0, 0, 1), (1, 5, 1)], "sample_id long, step int, pos int")):
+        with pytest.raises(Exception, match="the mask selects no position: sample 1"):
+            consistency.evidence(df, mask=mask).collect()
+
+
 def test_steps_not_reached_are_zero(spark):
     a = np.random.default_rng(6).random((2, 3, 1, 2))
     cut = a.copy()

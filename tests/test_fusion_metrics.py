@@ -3,6 +3,7 @@ import math
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from concord.operators import checks, fusion, metrics, video
 from tests import kernel
@@ -58,6 +59,8 @@ def test_auc_is_that_of_all_pairs(spark, rows):
     df = spark.createDataFrame(rows, "label int, score double")
     got, want = metrics.roc_auc(df).first().auc, kernel.auc(*zip(*rows, strict=True))
     assert math.isclose(got, want, abs_tol=1e-12) or math.isnan(got) and math.isnan(want)
+    if any(y > 1 for y, _ in rows):  # other labels take ranks, so turning the scores round is not the same
+        return
     turned = metrics.roc_auc(spark.createDataFrame([(y, -s) for y, s in rows], "label int, score double")).first().auc
     assert math.isnan(got) or math.isclose(turned, 1 - got, abs_tol=1e-12)
 
@@ -69,6 +72,29 @@ def test_auc_of_one_class_or_nothing_is_nan(spark):
         metrics.roc_auc(spark.createDataFrame([(1, float("nan")), (0, 1.0)], "label int, score double")).collect()
 
 
+def test_other_labels_take_ranks(spark):
+    rows = [(1, 0.9), (0, 0.1), (2, 0.5), (2, 0.6)]
+    assert metrics.roc_auc(spark.createDataFrame(rows, "label int, score double")).first().auc == 3.0
+
+
+def test_runs_of_scores_grow_with_them_and_split_a_crowd(spark):
+    import random
+
+    r = random.Random(5)
+    some = [0.0, -0.0, 1e-300, -1e-300, 1e-18, 5e-324, float("inf"), float("-inf"), 1.0, 2.0, 4.0, 0.5, 1e308, *(r.gauss(0, 10.0 ** r.randint(-6, 6)) for _ in range(400))]
+    got = spark.createDataFrame([(x,) for x in some], "score double").select("score", metrics._run("score").alias("run")).collect()
+    ordered = sorted((x.score, x.run) for x in got)
+    assert all(a[1] <= b[1] for a, b in zip(ordered[:-1], ordered[1:], strict=True))
+    crowd = spark.range(20_000).select((2.7 + 0.25 * F.rand(3)).alias("score"))
+    assert crowd.select(metrics._run("score").alias("run")).distinct().count() > 15_000
+
+
+def test_null_scores_have_the_lowest_rank(spark):
+    rows = [(None,), (1.0,), (None,), (float("nan"),)]
+    got = sorted((str(r.score), r.mean_rank) for r in metrics.mean_ranks(spark.createDataFrame(rows, "score double")).collect())
+    assert got == [("1.0", 3.0), ("None", 1.5), ("None", 1.5), ("nan", 4.0)]
+
+
 def test_mean_ranks(spark):
     rows = [(0.5,), (-1.0,), (0.5,), (2.0,), (0.5,)]
     got = sorted((r.score, r.mean_rank) for r in metrics.mean_ranks(spark.createDataFrame(rows, "score double")).collect())

@@ -112,15 +112,67 @@ def test_arrays(spark, tmp_path):
     assert arrays.read_artifact_candidates(spark, str(tmp_path / "t.npz")).where("pos = 3 AND rank = 1").first().token_id == 16
 
 
-def test_streaming_scores_each_sample_once(spark, tmp_path):
+@pytest.mark.parametrize("by_table", [False, True])
+def test_streaming_scores_each_sample_once_it_is_complete(spark, tmp_path, by_table):
     a = np.random.default_rng(0).random((2, 2, 2, 3))
     cells, out, mark = (str(tmp_path / x) for x in ("cells", "out", "mark"))
-    for i in range(2):
-        spark.createDataFrame(kernel.cells(a, i) + kernel.cells(a, 9), kernel.CELLS).coalesce(1).write.mode("append").parquet(cells)
-        streaming.start(spark, cells, out, mark, 2).awaitTermination()
-    got = spark.read.parquet(out).collect()
-    assert sorted(r.sample_id for r in got) == [0, 1, 9]
-    assert all(math.isclose(r.expected, kernel.views(kernel.pair_cosines(a), 2)[0]) for r in got)
+    size = spark.createDataFrame([(i, 8) for i in (0, 1, 8, 9)], "sample_id long, cells int") if by_table else 8
+    nine, eight = kernel.cells(a, 9), kernel.cells(a, 8)
+    arriving = [kernel.cells(a, 0) + nine[:3], nine[3:] + nine[:2] + eight[:1], kernel.cells(a, 1) + nine, eight[1:5]]
+    done = [[0], [0, 9], [0, 1, 9], [0, 1, 9]]
+    for rows, want in zip(arriving, done, strict=True):
+        spark.createDataFrame(rows, kernel.CELLS).coalesce(1).write.mode("append").parquet(cells)
+        streaming.start(spark, cells, out, mark, size, 2).awaitTermination()
+        got = streaming.read_scores(spark, out).collect()
+        assert sorted(r.sample_id for r in got) == want
+        assert all(math.isclose(r.expected, kernel.views(kernel.pair_cosines(a), 2)[0]) for r in got)
+    # a batch that is run again leaves what it left before
+    batch = spark.createDataFrame(eight[5:], kernel.CELLS)
+    for _ in range(2):
+        streaming.score_batch(batch, 4, out, size, 2, 1e-8)
+        assert sorted(r.sample_id for r in streaming.read_scores(spark, out).collect()) == [0, 1, 8, 9]
+
+
+def test_artifacts_and_matrices_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    a = rng.random((2, 3, 4, 5))
+    cells = spark.createDataFrame([(i, t, s, p + 6 * i, v) for i in (0, 1) for _, t, s, p, v in kernel.cells(a, i)], kernel.CELLS)
+    positions = spark.createDataFrame([(i, p + 6 * i, [p, 1, 2, 3, 4], p % 2 == 0, -0.5 * p) for i in (0, 1) for p in range(4)], "sample_id long, pos int, candidate_ids array<int>, selected boolean, logp double")
+    assert sinks.write_artifacts(cells, positions, str(tmp_path / "npz"), "float32") == 2
+    back = arrays.read_artifacts(spark, str(tmp_path / "npz"))
+    got = {(r.path[-5], r.traj, r.step, r.pos): (r.v, r.selected) for r in back.collect()}
+    assert len(got) == 48 and all(np.allclose(v, a[t, s, p - 6 * int(i)], atol=1e-6) and sel == (p % 2 == 0) for (i, t, s, p), (v, sel) in got.items())
+    ranges = {r.path[-5]: (r.start, r.end) for r in arrays.read_artifact_ranges(spark, str(tmp_path / "npz")).collect()}
+    assert ranges == {"0": (None, None), "1": (6, 10)}
+    assert arrays.read_artifact_candidates(spark, str(tmp_path / "npz")).where("pos = 8 AND rank = 0").first().token_id == 2
+    with pytest.raises(ValueError):
+        sinks.write_artifacts(cells, positions, str(tmp_path / "npz"), "int8")
+    pairs = spark.createDataFrame([(7, 1, "gen_gen", i, j, f, 0.1 * f + i) for i, j in ((0, 1), (0, 2), (1, 2)) for f in range(3)], "sample_id long, label long, pair_type string, i int, j int, frame int, sim double")
+    skipped = spark.createDataFrame([(8, 0, "too_short"), (7, 1, "ok")], "sample_id long, label long, status string")
+    assert sinks.write_matrices(pairs, str(tmp_path / "v"), skipped) == 1
+    m = arrays.read_sample_folders(spark, str(tmp_path / "v")).collect()
+    assert len(m) == 1 and np.allclose(m[0].matrix, [[0, 0.1, 0.2], [0, 0.1, 0.2], [1, 1.1, 1.2]]) and [(x.i, x.j) for x in m[0].row_map] == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_image_and_edit_records(spark, tmp_path):
+    p = _write(tmp_path / "i.jsonl", [{"path": "a.png", "caption": "x", "label": 1}, {"path": "b.png", "label": 1}, {"path": "c.png", "caption": "y", "label": "0"}])
+    assert [tuple(r) for r in records.read_image_records(spark, p).orderBy("sample_id").collect()] == [(0, "a.png", "x", 1), (2, "c.png", "y", 0)]
+    good = {"input_path": "i", "output_path": "o", "instruction": "do", "label": 1}
+    (tmp_path / "e.json").write_text(json.dumps([good, 3, {**good, "label": None}]))
+    assert [r.sample_id for r in records.read_edit_array(spark, str(tmp_path / "e.json")).collect()] == [0]
+    (tmp_path / "bad.json").write_text(json.dumps([good, {**good, "label": "x"}]))
+    with pytest.raises(Exception, match="no integer at record 1"):
+        records.read_edit_array(spark, str(tmp_path / "bad.json")).collect()
+    assert records.count_rows(spark, str(tmp_path / "e.json")) == 3 and records.count_rows(spark, p) == 3
+
+
+def test_histories_of_each_pathway(spark):
+    h = spark.createDataFrame([(0, 1, 0, [9, 1, 9, 0], 2)], "sample_id long, traj int, step int, token_ids array<int>, masked int")
+    meta = spark.createDataFrame([(0, 1, 3)], "sample_id long, traj int, length int")
+    lines = {p: [json.loads(r.value) for r in sinks.history_lines(h, meta, p).orderBy("step").collect()] for p in sinks.HISTORIES}
+    assert [x["type"] for x in lines["text"]] == [x["type"] for x in lines["image"]] == ["meta", "step"]
+    assert lines["text"][1]["token_ids"] == [9, 1, 9] and lines["text"][1]["masked"] == 2 and "masked" not in lines["image"][1]
+    assert lines["edit"] == [{"sample_id": 0, "trajectory_id": 1, "step": 0, "token_ids": [9, 1, 9, 0]}]
 
 
 def test_windows_of_a_stream(spark, sf, tmp_path):

@@ -1,6 +1,7 @@
 import decimal
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ def test_settings(spark):
     resume.check_config({"steps": 4, "devices": "0"}, {"steps": 4, "devices": "1"})
     with pytest.raises(ValueError, match="steps"):
         resume.check_config({"steps": 4}, {"steps": 5})
+    resume.check_config({"steps": 4, "old": 1}, {"steps": 4, "new": 2})  # what only one of both knows is no obstacle
     checks.check_run_settings(batch_size=1, mask_ratio=0.5, eps=1e-8)
     for bad in ({"batch_size": 0}, {"mask_ratio": 0}, {"mask_ratio": 1.5}, {"eps": 0}, {"num_trajectories": 1}):
         with pytest.raises(ValueError):
@@ -62,7 +64,15 @@ def test_step_specs(spark):
     assert [(r.n, r.s, r.m) for r in got] == [(0, 0, 0), (1, 1, 1), (3, 1, 2), (5, 2, 2), (10, 3, 5)]
     assert st.parse_image_size("832*480") == st.parse_image_size("832x480") == st.parse_image_size(" 832, 480") == (832, 480)
     assert st.parse_image_size("832") is None and st.parse_image_size(None) is None
-    assert st.worker_seed(5, 2) == 5 + 2 * 1_000_003
+    assert st.worker_seed(5, 2) == st.worker_seed(5, 2, "video") == 5 + 2 * 1_000_003 and st.worker_seed(5, 2, "edit") == 7
+    sizes = spark.createDataFrame([(1000, 1), (1, 1000), (832, 480), (1664, 480), (832, 960), (833, 480)], "w int, h int")
+    w, h = st.crop_size(F.col("w"), F.col("h"), 832, 480)
+    for r in sizes.select("w", "h", w.alias("cw"), h.alias("ch")).collect():
+        ratio = 832 / 480
+        assert (r.cw, r.ch) == ((r.w, max(int(r.w / ratio), 1)) if r.w < r.h * ratio else (max(int(r.h * ratio), 1), r.h)) and r.cw and r.ch
+    frames = spark.range(4).select(st.frame_noise(F.col("id"), 9, 0.5).alias("n"), st.frame_noise(F.col("id"), 9, 0.5, False).alias("all"))
+    assert [r.n for r in frames.collect()] == [0.0, 0.0, 0.0, 0.5] and {r.all for r in frames.collect()} == {0.5}
+    assert st.denoise_strength(0.8, 0.0) == 0.0 and st.denoise_strength(0.8, 0.0, 3) == st.denoise_strength(0.8, 1.0) == 0.8
 
 
 def test_changed_span(spark):
@@ -80,6 +90,11 @@ def test_tokens(spark):
         masking.top_tokens(logits, 9).collect()
     p = {r.token_id: r.p for r in masking.candidate_probabilities(logits, logits).collect()}
     assert sum(p.values()) == pytest.approx(1) and p[3] == pytest.approx(1)
+    big = spark.createDataFrame([(0, 0, t, x) for t, x in enumerate([1000.0, 999.0, -1000.0, float("-inf"), 64.0, -63.9])] + [(0, 1, 0, -800.0), (0, 1, 1, -800.0)], "sample_id long, pos int, token_id int, logit double")
+    got = {(r.pos, r.token_id): r.logp for r in masking.token_log_probabilities(big).collect()}
+    lse = 1000 + math.log1p(math.exp(-1))
+    assert got[0, 0] == pytest.approx(1000 - lse) and got[0, 2] == pytest.approx(-1000 - lse) and got[0, 3] == float("-inf")
+    assert got[1, 0] == got[1, 1] == pytest.approx(-math.log(2))
     with pytest.raises(ValueError):
         masking.require_tokens(logits.limit(0))
     with pytest.raises(ValueError):
