@@ -215,9 +215,19 @@ def roc_auc_ties(spark, sf):
     return metrics.roc_auc(_scored(spark, sf)).select(F.round("auc", 9).alias("auc"))
 
 
-@_query(f"WITH s AS ({_SCORED}) SELECT lang, round({_AUC}, 9) AS auc FROM (SELECT lang, score FROM s WHERE label = 1) p JOIN (SELECT lang, score FROM s WHERE label = 0) n USING (lang) GROUP BY lang")
+@_query(f"WITH s AS ({_SCORED}) SELECT lang, CASE WHEN count(p.score) = 0 OR count(n.score) = 0 THEN -1 ELSE round({_AUC}, 9) END AS auc FROM (SELECT DISTINCT lang FROM s) LEFT JOIN (SELECT lang, score FROM s WHERE label = 1) p USING (lang) LEFT JOIN (SELECT lang, score FROM s WHERE label = 0) n USING (lang) GROUP BY lang")
 def roc_auc_by_group(spark, sf):
-    return metrics.roc_auc(_scored(spark, sf), by=("lang",)).where(~F.isnan("auc")).select("lang", F.round("auc", 9).alias("auc"))
+    """-1 for a group of one class."""
+    return metrics.roc_auc(_scored(spark, sf), by=("lang",)).select("lang", F.when(F.isnan("auc"), -1.0).otherwise(F.round("auc", 9)).alias("auc"))
+
+
+@_query("""WITH s AS (SELECT label, embedding[1]::DOUBLE AS score FROM embeddings),
+r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM s)
+SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM r""")
+def roc_auc_other_labels(spark, sf):
+    """Labels from 0 to 9: those but 0 and 1 are of no class and take ranks."""
+    rows = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("score"))
+    return metrics.roc_auc(rows).select(F.round("auc", 9).alias("auc"))
 
 
 @_query("SELECT 'NaN'::DOUBLE AS auc")
@@ -254,10 +264,10 @@ def resume_left_anti(spark, sf):
     return resume.remaining(table(spark, sf, "documents").select("doc_id", "n_chars"), table(spark, sf, "labels"), ["doc_id"])
 
 
-@_query("SELECT DISTINCT md5(text) AS key FROM documents")
+@_query("SELECT md5(text) AS key FROM documents UNION SELECT md5(text) FROM conversations")
 def processed_distinct(spark, sf):
-    docs = table(spark, sf, "documents").select(F.md5(F.encode("text", "UTF-8")).alias("key"))
-    return resume.processed_keys(docs, docs, keys=["key"])
+    docs, turns = (table(spark, sf, t).select(F.md5(F.encode("text", "UTF-8")).alias("key")) for t in ("documents", "conversations"))
+    return resume.processed_keys(docs, turns, keys=["key"])
 
 
 @_query("SELECT r::INT AS rank, coalesce(n, 0) AS n FROM range(16) t(r) LEFT JOIN (SELECT doc_id % 16 AS k, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1) ON k = r")
@@ -279,7 +289,7 @@ def drop_repeats(spark, sf):
 
 @_query(None)
 def record_hashes(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality")
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", "quality")
     return resume.record_hash(docs, ["text", "quality"]).select("doc_id", "record_hash")
 
 
@@ -326,6 +336,18 @@ def allowed_tokens(spark, sf):
     return masking.allowed_tokens(vocab, bad, "text", 120).union(masking.allowed_tokens(vocab, bad, "image", 120, 30))
 
 
+@_query("SELECT p_partkey::INT AS token_id FROM part WHERE p_partkey NOT IN (5, 7, 11)")
+def maskable_tokens(spark, sf):
+    vocab = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("token_id"))
+    return masking.maskable_tokens(vocab, vocab.where("token_id IN (5, 7, 11)"))
+
+
+@_query(f"SELECT sample_id, pos, token_id FROM ({TOKENS_SQL}) WHERE attended AND token_id >= 20 AND pos BETWEEN 2 AND 4")
+def semantic_region(spark, sf):
+    vocab = spark.range(100).select(F.col("id").cast("int").alias("token_id"))
+    return masking.semantic_positions(tokens(spark, sf), masking.allowed_tokens(vocab, vocab.limit(0), "image", 20), F.col("pos").between(2, 4))
+
+
 @_query(f"SELECT sample_id, pos, token_id FROM ({TOKENS_SQL}) WHERE attended AND token_id >= 20 AND token_id NOT IN (25, 50)")
 def semantic_positions(spark, sf):
     vocab = spark.range(100).select(F.col("id").cast("int").alias("token_id"))
@@ -340,6 +362,13 @@ def mask_select(spark, sf):
     return masking.choose_masks(tokens(spark, sf).where("attended"), 2, 0.5)
 
 
+@_query(f"""WITH t AS (SELECT sample_id, pos FROM ({TOKENS_SQL}) WHERE pos >= 3), k AS (SELECT sample_id, greatest(1, round_even(count(*) * 0.5, 0)::INT) AS k FROM t GROUP BY 1),
+o AS (SELECT t.sample_id, j::INT AS traj, pos, row_number() OVER (PARTITION BY t.sample_id, j ORDER BY md5(concat_ws(':', t.sample_id, j, pos, 7)), pos) AS n FROM t, range(2) r(j))
+SELECT o.sample_id, traj, pos FROM o JOIN k USING (sample_id) WHERE n <= k""")
+def mask_region(spark, sf):
+    return masking.choose_masks(tokens(spark, sf), 2, 0.5, 7, region=F.col("pos") >= 3)
+
+
 @_query("SELECT n, CASE WHEN n = 0 THEN 0 ELSE 18 END AS fixed, CASE WHEN n = 0 THEN 0 ELSE greatest(1, ceil(n * 0.35)::INT) END AS share, least(n, greatest(1, round_even(n * 0.25, 0)::INT)) AS masks FROM (SELECT DISTINCT (l_quantity - 1)::INT AS n FROM lineitem)")
 def steps_schedule(spark, sf):
     n = table(spark, sf, "lineitem").select((F.col("l_quantity") - 1).cast("int").alias("n")).distinct()
@@ -381,11 +410,6 @@ def changed_span(spark, sf):
     return rows.select("o_orderkey", masking.changed_span(F.col("a"), F.col("b")).alias("s")).select("o_orderkey", "s.*")
 
 
-@_query("SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w = 'the'))::INT AS masked FROM conversations")
-def turn_history_counts(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("token_ids"))
-    return turns.select("conv_id", "turn", F.size(F.filter("token_ids", lambda t: t == "the")).alias("masked"))
-
 
 @_query("SELECT greatest(1, ceil((l_quantity % 9) * 0.35)::INT) AS steps, count(*) AS samples FROM lineitem GROUP BY 1")
 def step_buckets(spark, sf):
@@ -403,11 +427,6 @@ def label_coercion(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", label_to_int(F.expr(_LABELS)).alias("label"))
 
 
-@_query("SELECT doc_id, text IS NOT NULL AS has_text, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL")
-def required_key_filter(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return docs.dropna(subset=["text", "quality"]).select("doc_id", F.col("text").isNotNull().alias("has_text"), "quality")
-
 
 @_query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
 def missing_required(spark, sf):
@@ -433,21 +452,11 @@ def frame_arithmetic(spark, sf):
     return table(spark, sf, "part").select("p_partkey", st.align_frames(size).alias("frames"), st.latent_prefix(size).alias("latent"), st.run_seed(1818, F.col("p_partkey"), 100000, size).alias("seed"))
 
 
-@_query("SELECT p_partkey, CASE WHEN w * 480 > h * 832 THEN h * 832 // 480 ELSE w END::INT AS width, CASE WHEN w * 480 > h * 832 THEN h ELSE w * 480 // 832 END::INT AS height FROM (SELECT p_partkey, p_size * 20 + 100 AS w, (p_partkey % 37)::INT * 15 + 90 AS h FROM part)")
+_RATIO = f"{832 / 480!r}::DOUBLE"
+
+
+@_query(f"SELECT p_partkey, CASE WHEN w < h * {_RATIO} THEN w ELSE greatest(floor(h * {_RATIO}), 1) END::INT AS width, CASE WHEN w < h * {_RATIO} THEN greatest(floor(w / {_RATIO}), 1) ELSE h END::INT AS height FROM (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 1 ELSE p_size * 20 + 100 END AS w, (p_partkey % 37)::INT * 15 + 1 AS h FROM part)")
 def crop_sizes(spark, sf):
-    w, h = F.col("p_size") * 20 + 100, (F.col("p_partkey") % 37).cast("int") * 15 + 90
+    w, h = F.when(F.col("p_size") % 10 == 0, 1).otherwise(F.col("p_size") * 20 + 100), (F.col("p_partkey") % 37).cast("int") * 15 + 1
     width, height = st.crop_size(w, h, 832, 480)
     return table(spark, sf, "part").select("p_partkey", width.alias("width"), height.alias("height"))
-
-
-@_query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders QUALIFY ordinal < 50")
-def limit_by_ordinal(spark, sf):
-    first = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(50)
-    from pyspark.sql import Window
-
-    return first.withColumn("ordinal", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long"))
-
-
-@_query(f"SELECT sample_id, count(*) AS cells, sum(len(v))::BIGINT AS numbers FROM ({cells_sql(turned=True)}) WHERE step < 2 GROUP BY 1")
-def cell_counts(spark, sf):
-    return cells(spark, sf, turned=True).where("step < 2").groupBy("sample_id").agg(F.count("*").alias("cells"), F.sum(F.size("v")).alias("numbers"))

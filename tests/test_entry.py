@@ -30,7 +30,7 @@ def db(sf):
 
 
 def _names():
-    from concord.plans.catalogue import ORACLE
+    from concord.plans.round_trips import ORACLE
 
     return sorted(ORACLE)
 
