@@ -13,8 +13,11 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points of which texts are split here: Latin up to U+024F without those whose lower case lies elsewhere, and general punctuation that isn't white space.
 _OWN = [
@@ -67,6 +70,18 @@ def to_letters(pieces: list[str]) -> list[str]:
     return _code_points()[data].tobytes().decode("utf-16-le").split("\n")
 
 
+@lru_cache
+def _lines_points() -> np.ndarray:
+    points = _code_points().copy()
+    points[10] = 10
+    return points
+
+
+def letters_of(data: np.ndarray) -> str:
+    """The letters of bytes in UTF-8; line ends stay."""
+    return _lines_points()[data].tobytes().decode("utf-16-le")
+
+
 def from_letters(letters: str) -> str:
     return letters.translate(_bytes_table()).encode("latin1").decode("utf-8", "replace")
 
@@ -100,20 +115,17 @@ class Splitter:
             return [p for part in self._apart.split(text) for p in ([part] if part in self.special else self._plain(part))]
         return self._plain(text)
 
-    def units(self, text: str) -> list[str] | None:
-        """What stands between blanks, if no piece crosses them; None for texts that have to be split as a whole.
+    def is_whole(self, text: str) -> bool:
+        """Whether a text has to be split as a whole, as a piece may cross a blank.
 
         Where blanks are kept, a piece begins at each one that doesn't stand within or at the
-        text's end after other white space, so a unit and the blank before it have the same
-        pieces in any text. Texts with such a blank, or two in a row, are split as a whole.
+        text's end after other white space, so what stands between blanks, a unit, and the
+        blank before it have the same pieces in any text. Texts with such a blank, or two
+        in a row, are split as a whole, as are those with other than common Latin characters.
         """
         if self._sign and self._sign in text or _FOREIGN.search(text):
-            return None
-        if self.lower:
-            return text.lower().split()
-        if "  " in text or any(c in text for c in _WHITE) and _WITHIN_WHITE.search(text):
-            return None
-        return text.split(" ")
+            return True
+        return not self.lower and ("  " in text or any(c in text for c in _WHITE) and _WITHIN_WHITE.search(text) is not None)
 
     def _plain(self, text: str) -> list[str]:
         if _FOREIGN.search(text):
@@ -130,6 +142,19 @@ class Cached:
         self.encode, self.most = encode, most
         self.known: dict[str, bytes] = {}
 
+    def of(self, different: list[str]) -> list[bytes]:
+        """The bytes of pieces that are all different."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        found = list(map(self.known.get, different))
+        new = [p for p, x in zip(different, found, strict=True) if x is None]
+        if new:
+            made = self.encode(new)
+            self.known.update(zip(new, made, strict=True))
+            made = iter(made)
+            found = [next(made) if x is None else x for x in found]
+        return found
+
     def __call__(self, texts: list[list[str]], joined: bool = True) -> list:
         """The bytes of each text's pieces, as one or, if not ``joined``, as a list."""
         if len(self.known) > self.most:
@@ -142,10 +167,15 @@ class Cached:
 
 
 class Coder:
-    """Encodes whole texts, units and pieces by way of what was encoded before; ``encode`` gives the ids of new pieces."""
+    """Encodes whole texts, units and pieces by way of what was encoded before; ``encode`` gives the ids of new pieces.
 
-    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
+    ``encode_units``, if given, does so for the pieces of many units without white space at
+    once: it gets them in order, with a line end as a piece of its own between two units.
+    """
+
+    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]], encode_units: Callable[[list[str]], list[bytes]] | None = None, most: int = 700_000):
         self.split = Splitter(path)
+        self._encode_units = encode_units
         self._pieces = Cached(self._with_special(encode), most // 2)
         self._units = Cached(self._unit_ids, most)
 
@@ -161,6 +191,14 @@ class Coder:
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
         find = self.split.pattern.findall
+        if self._encode_units:
+            # units without white space, which does not print, are split in one go: a line end between two is a piece of its own
+            plain = [u for u in units if u and u.isprintable()]
+            ids = dict(zip(plain, self._encode_units(find(" " + "\n ".join(plain))) if plain else (), strict=True))
+            if len(plain) < len(units):
+                rest = [u for u in units if u not in ids]
+                ids.update(zip(rest, self._pieces([find(" " + u) for u in rest]), strict=True))
+            return list(map(ids.__getitem__, units))
         blank = "" if self.split.lower else " "
         found = [find(blank + u) for u in units]
         # most units are one piece
@@ -171,18 +209,42 @@ class Coder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers."""
-        units = [self.split.units(t) for t in texts]
-        hard = iter(self._pieces([self.split.pieces(t) for t, u in zip(texts, units, strict=True) if u is None]))
+        whole = [self.split.is_whole(t) for t in texts]
+        hard = iter(self._pieces([self.split.pieces(t) for t, w in zip(texts, whole, strict=True) if w]))
+        easy = iter(self._by_units([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [next(hard) if w else next(easy) for w in whole]
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their units: each different one is looked up once, then all are put together by number."""
+        if not texts:
+            return []
+        heads: list[bytes] = []
         if self.split.lower:
-            easy = iter(self._units([u for u in units if u is not None]))
-            return [next(hard) if u is None else next(easy) for u in units]
-        # a text's first unit has no blank before it
-        heads = iter(self._pieces([self.split.pattern.findall(u[0]) for u in units if u is not None]))
-        easy = iter(self._units([u[1:] for u in units if u is not None]))
-        return [next(hard) if u is None else next(heads) + next(easy) for u in units]
-
-
-def runs(texts: list[str], most: int = 1 << 21) -> Iterable[list[str]]:
+            units = [t.lower().split() for t in texts]
+            at = np.cumsum([0, *map(len, units)])
+            values = pa.array(chain.from_iterable(units), pa.string())
+        else:
+            units = pc.split_pattern(pa.array(texts, pa.string()), " ")
+            at, values = units.offsets.to_numpy(), units.values
+            # a text's first unit has no blank before it
+            heads = self._pieces([self.split.pattern.findall(t.partition(" ")[0]) for t in texts])
+        coded = values.dictionary_encode()
+        known = self._units.of(coded.dictionary.to_pylist())
+        number = coded.indices.to_numpy().copy()
+        if heads:
+            number[at[:-1]] = len(known) + np.arange(len(texts))
+        table = known + heads
+        sizes = np.array([len(x) // 4 for x in table] or [0], np.int32)
+        ids, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes, dtype=np.int64) - sizes
+        own = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+        place = np.repeat((starts[number] - ends[:-1]).astype(np.int32), own)
+        place += np.arange(len(place), dtype=np.int32)
+        data, at = ids[place].tobytes(), (4 * ends[at]).tolist()
+        return [data[i:j] for i, j in zip(at, at[1:])]
+
+
+def runs(texts: list[str], most: int = 1 << 22) -> Iterable[list[str]]:
     """The texts in order, about ``most`` characters at a time."""
     run, size = [], 0
     for text in texts:

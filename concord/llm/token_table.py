@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concord.llm import store
-from concord.llm.pieces import Coder, library, runs, to_letters
+from concord.llm.pieces import Coder, letters_of, library, runs, to_letters
 
 MAGIC = b"CSST0002"
 FOOTER = struct.Struct("<QQQQIQQI8s")
@@ -206,7 +206,16 @@ def _library_coder(path: str) -> Coder:
             out += [data[i:j] for i, j in zip(at, at[1:])]
         return out
 
-    return Coder(path, encode)
+    def encode_units(pieces: list[str]) -> list[bytes]:
+        data = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+        gap = np.flatnonzero((data[:-2] == 10) & (data[1:-1] == 10) & (data[2:] == 10))  # a unit's end: its line end between two of joining
+        letters = np.concatenate([[0], np.cumsum(data != 10)])[[*gap, len(data)]]
+        ids = np.array(plain.encode_batch_fast([letters_of(data)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.searchsorted(np.cumsum(sizes[ids]), letters) + 1) * 4
+        out, at = ids.tobytes(), [0, *ends.tolist()]
+        return [out[i:j] for i, j in zip(at, at[1:])]
+
+    return Coder(path, encode, encode_units)
 
 
 def library_ids(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
