@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from concord.llm import store
 from concord.llm.components import connected_components
-from concord.llm.shared import cut, dealt_anew, free_name, shared_dir, with_mapped
+from concord.llm.shared import cut, dealt_anew, free_name, remove, remove_folder, shared_dir, with_mapped
 from concord.llm.words import mix, ragged_binary, sequence_keys, shingles, text_chunks, word_hashes
 
 #: Nodes of a block, and n-grams of all of them, to be expected at most.
@@ -346,7 +346,9 @@ def _in_blocks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = seen.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     seen = cut(seen.join(dealt_anew(several, "band"), "band"), "met")
     pairs = seen.withColumnRenamed("block", "a").join(seen.select(F.col("band").bitwiseXOR(F.lit(0).cast("long")).alias("band"), F.col("block").alias("b")), "band")
-    return blocks, cut(pairs.where("a < b").select("a", "b").distinct(), "pairs")
+    pairs = cut(pairs.where("a < b").select("a", "b").distinct(), "pairs")
+    remove(met, labelled, seen)
+    return blocks, pairs
 
 
 def _links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float, bits: int) -> DataFrame:
@@ -374,7 +376,10 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float, bits: in
     # comparing takes far longer than moving, so tasks are made by the number of pairs, not by their bytes
     tasks = min(max(spark.sparkContext.defaultParallelism, count // 64), 50_000)
     both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", F.pmod(F.xxhash64("b"), F.lit(16))).sortWithinPartitions("a_file", "a_at", "a", "b")
-    return links.unionByName(cut(both.mapInArrow(lambda it: _across(threshold, it), _FOUND), "across"))
+    across = cut(both.mapInArrow(lambda it: _across(threshold, it), _FOUND), "across")
+    remove(blocks, pairs)
+    remove_folder(spark, folder)
+    return links.unionByName(across)
 
 
 def _classified(docs: DataFrame, n: int, threshold: float, recall: float, bits: int = 64) -> DataFrame:

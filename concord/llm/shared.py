@@ -45,12 +45,16 @@ def cut(df: DataFrame, purpose: str = "table") -> DataFrame:
     return out
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes a table that cut() wrote and of which nothing is read any more."""
-    spark, written = df.sparkSession, vars(df).get("written")
-    if written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(written)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and of which nothing is read any more; other tables stay."""
+    for df in tables:
+        if written := vars(df).get("written"):
+            remove_folder(df.sparkSession, written)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -200,6 +200,21 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def test_a_cluster_needs_a_shared_folder_and_tables_of_it_can_go(spark, table):
+    from types import SimpleNamespace
+
+    from concord.llm import shared
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context), "x")
+    made = shared.cut(table([(1,)], "a long"), "some")
+    shared.remove(made, table([(1,)], "a long"))  # a table that is not of cut() is left alone
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(made.written)
+
+
 def test_nothing_outside_names_this_package():
     import pathlib
 
