@@ -143,6 +143,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command in runs.CONTENT:
         print(f"AUC={run(spark, args):.6f}")
     elif args.command == "video":
+        checks.check_run_settings(max_samples=args.max_samples, num_repeats=args.num_repeats, seed_stride=args.seed_stride)
         inputs = records.read_video_records(spark, args.input_path, args.max_samples)
         counts = runs.run_videos(spark, inputs, factory(args.model), args.output_dir.rstrip("/"), num_repeats=args.num_repeats, base_seed=args.base_seed, seed_stride=args.seed_stride, go_on=args.resume)
         print(", ".join(f"{k}: {v}" for k, v in sorted(counts.items())))

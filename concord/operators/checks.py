@@ -67,11 +67,12 @@ def ensure_none(offending: DataFrame, what: str) -> None:
 
 def check_run_settings(**s) -> None:
     """Ranges of a run's settings; raises an error for the first that is out of range."""
-    at_least = {"batch_size": 1, "max_seq_len": 1, "top_d": 1, "num_trajectories": 2, "aggregation_topk": 1, "num_workers": 1, "num_repeats": 2, "sample_steps": 1, "prefix_frames": 1, "continuation_frames": 1, "clip_batch_size": 1}
+    at_least = {"batch_size": 1, "max_samples": 1, "seed_stride": 1, "input_sampling_rate": 1, "start_step_index": 0, "max_seq_len": 1, "top_d": 1, "num_trajectories": 2, "aggregation_topk": 1, "num_workers": 1, "num_repeats": 2, "sample_steps": 1, "prefix_frames": 1, "continuation_frames": 1, "clip_batch_size": 1}
     for k, least in at_least.items():
         if s.get(k) is not None and s[k] < least:
             raise ValueError(f"{k} must be at least {least}")
-    if s.get("mask_ratio") is not None and not 0 < s["mask_ratio"] <= 1:
-        raise ValueError("mask_ratio must be in (0, 1]")
+    for k in ("mask_ratio", "continuation_noise_level", "denoise_strength"):
+        if s.get(k) is not None and not 0 <= s[k] <= 1:
+            raise ValueError(f"{k} must be in [0, 1]")
     if s.get("eps") is not None and not s["eps"] > 0:
         raise ValueError("eps must be positive")

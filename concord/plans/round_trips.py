@@ -247,7 +247,7 @@ def denoised_cells(spark, sf):
     samples = table(spark, sf, "supplier").select(k.alias("sample_id"), F.array_repeat(F.lit(1), (4 + k % 3).cast("int")).alias("token_ids"), (1 + k % 4).alias("m"))
     masks = samples.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("traj"), "m").select("sample_id", "traj", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("pos"))
     candidates = samples.select("sample_id", F.transform("token_ids", lambda t: F.array(F.lit(0), F.lit(2))).alias("candidate_ids"))
-    made = generation.denoise(samples, masks, candidates, _Fixed, 3, 5, batch_size=4)
+    made = generation.denoise(samples, masks, candidates, _Fixed, 3, 6, batch_size=4)
     return made.select("sample_id", "traj", "step", "pos", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
 
 

@@ -79,8 +79,10 @@ def run_sequences(
 
     With ``go_on`` the settings must be those of the runs before, records whose content
     has a result are left out, and results are added; else they are replaced. A record
-    of which nothing can be masked has no result; one of which nothing is scored is an
-    error. Records of equal content are run once.
+    of which nothing can be masked has no result, in an edit run one that says so by its
+    status; one of which nothing is scored is an error. Image records of equal content
+    are run once. An edit run may go on under other settings, and of several results of
+    a sample the last counts.
     """
     domain, most = domain or DEFAULTS[pathway][0], max_seq_len or DEFAULTS[pathway][1]
     kind, value = parse_step_spec(steps)
@@ -88,10 +90,12 @@ def run_sequences(
     checks.check_run_settings(**{k: v for k, v in given.items() if k not in ("topk_domain", "steps", "seed")})
     results, config = f"{output}/results.jsonl", f"{output}/config.json"
     go_on = go_on and _exists(spark, results)
-    if go_on and _exists(spark, config):
+    if go_on and pathway != "edit" and _exists(spark, config):
         resume.check_config(sinks.read_config(spark, config), given)
     content = CONTENT[pathway]
-    todo = resume.drop_repeats(resume.record_hash(inputs, [*content, "label"]), ["record_hash"], "sample_id")
+    todo = resume.record_hash(inputs, [*content, "label"])
+    if pathway == "image":
+        todo = resume.drop_repeats(todo, ["record_hash"], "sample_id")
     if go_on:
         done = rec.read_results(spark, results, label_key, "record_hash decimal(20,0)").select("record_hash")
         todo = resume.remaining(todo, resume.processed_keys(done, keys=["record_hash"]), ["record_hash"])
@@ -108,6 +112,9 @@ def run_sequences(
     extra = [F.lit(kind).alias("steps_mode"), F.lit(value).alias("steps_value"), F.lit(float(mask_ratio)).alias("mask_ratio"), F.lit(top_d).alias("top_d"), F.lit(domain).alias("topk_domain")]
     labels = todo.withColumnRenamed("label", label_key)
     scored = consistency.result_records(found, None, labels, label_key, [*content, "record_hash"]).select("*", F.lit("ok").alias("status"), *extra)
+    if pathway == "edit":
+        skipped = resume.remaining(labels, cells.select("sample_id"), ["sample_id"]).select("sample_id", label_key, *content, "record_hash", F.lit("skipped_insufficient_trajectories").alias("status"), *extra)
+        scored = scored.unionByName(skipped, allowMissingColumns=True)
     sinks.write_results(scored, results, go_on)
     if save_probs:
         positions = sequences.select("sample_id", F.posexplode(F.arrays_zip("candidate_ids", "selected", "logp")).alias("pos", "p")).select("sample_id", "pos", "p.*")
@@ -117,7 +124,10 @@ def run_sequences(
         meta = history.groupBy("sample_id", "traj").agg(F.max(F.size("token_ids")).alias("length"))
         sinks.write_history(masking.masked_counts(history, mask_id), meta, f"{output}/_shards/denoise/{uuid.uuid4().hex}", pathway)
     sinks.write_config(spark, given, config)
-    return auc_of_results(rec.read_results(spark, results, label_key), label_key)
+    found = rec.read_results(spark, results, label_key)
+    if pathway == "edit":
+        found = resume.ok_only(resume.keep_last(found, "sample_id", ["shard_path", "line_no"]))
+    return auc_of_results(found, label_key)
 
 
 def run_videos(spark: SparkSession, inputs: DataFrame, model: Callable[[], object], output: str, *, num_repeats: int = 4, base_seed: int = 1818, seed_stride: int = 100_000, go_on: bool = True) -> dict[str, int]:

@@ -101,12 +101,28 @@ def test_a_run_goes_on_and_batches_change_nothing(spark, tmp_path, capsys):
     with pytest.raises(ValueError, match="seed"):
         run("Sequences", "a", "--seed", "5")
     run("Sequences", "a", "--seed", "5", "--no_resume")
-    assert len(read("a")) == 7
+    assert len(read("a")) == 8  # records of equal text are run each
     with pytest.raises(ValueError, match="module:factory"):
         cli.factory("tests.toy")
     capsys.readouterr()
 
 
+def test_runs_of_image_drop_repeats_and_of_edit_say_what_they_skip(spark, tmp_path, capsys):
+    args = ["--model", "tests.toy:Sequences", "--top_d", "4", "--num_trajectories", "2", "--steps", "2", "--no_save_probs"]
+    image = {"path": _words(1, 1), "caption": "c", "label": 1}
+    path = _lines(tmp_path / "i.jsonl", [image, {**image, "path": _words(2, 0), "label": 0}, image])
+    cli.main(["image", "--input_path", path, "--output_dir", str(tmp_path / "i"), *args])
+    assert sorted(r.sample_id for r in records.read_results(spark, str(tmp_path / "i" / "results.jsonl")).collect()) == [0, 1]
+    edit = {"input_path": _words(1, 1), "output_path": "o", "instruction": "do", "label": 1}
+    nothing = {"input_path": "known", "output_path": "", "instruction": "", "label": 1}  # a sequence without a position to mask
+    path = _lines(tmp_path / "e.jsonl", [edit, nothing, {**edit, "input_path": _words(2, 0), "label": 0}])
+    for more in ([], ["--seed", "7"]):
+        cli.main(["edit", "--input_path", path, "--output_dir", str(tmp_path / "e"), *args, *more])
+        assert "AUC=1.000000" in capsys.readouterr().out.splitlines()[-1]
+    got = {r.sample_id: r.status for r in records.read_results(spark, str(tmp_path / "e" / "results.jsonl")).collect()}
+    assert got == {0: "ok", 1: "skipped_insufficient_trajectories", 2: "ok"}
+
+
 def test_runs_of_videos_are_fused(spark, tmp_path, capsys):
     rows = [{"video_path": f"{'known' if i % 2 else 'other'}{i}.mp4", "label": i % 2} for i in range(4)] + [{"video_path": "short.mp4", "label": 1}]
     path = _lines(tmp_path / "v.jsonl", rows)

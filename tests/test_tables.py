@@ -48,8 +48,8 @@ def test_settings(spark):
     with pytest.raises(ValueError, match="steps"):
         resume.check_config({"steps": 4}, {"steps": 5})
     resume.check_config({"steps": 4, "old": 1}, {"steps": 4, "new": 2})  # what only one of both knows is no obstacle
-    checks.check_run_settings(batch_size=1, mask_ratio=0.5, eps=1e-8)
-    for bad in ({"batch_size": 0}, {"mask_ratio": 0}, {"mask_ratio": 1.5}, {"eps": 0}, {"num_trajectories": 1}):
+    checks.check_run_settings(batch_size=1, mask_ratio=0, eps=1e-8, start_step_index=0, denoise_strength=1)
+    for bad in ({"batch_size": 0}, {"mask_ratio": -0.1}, {"mask_ratio": 1.5}, {"continuation_noise_level": 2}, {"denoise_strength": -1}, {"start_step_index": -1}, {"max_samples": 0}, {"eps": 0}, {"num_trajectories": 1}):
         with pytest.raises(ValueError):
             checks.check_run_settings(**bad)
 
