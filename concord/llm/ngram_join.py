@@ -162,8 +162,12 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
                 out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
         return out.astype(np.int64)
     sides = []
-    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    for sets in (left, right):
+    if left is right:  # an n-gram of one set only is in no intersection
+        values, times = np.unique(np.concatenate(left), return_counts=True)
+        both = values[times > 1]
+    else:
+        both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    for sets in (left,) if left is right else (left, right):
         values = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         place = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
@@ -172,13 +176,15 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(place, kind="stable")
         sides.append((place[order], owner[order]))
     for low in range(0, len(both), _WIDTH):
-        parts = []
-        for (place, owner), sets in zip(sides, (left, right), strict=True):
-            i, j = np.searchsorted(place, [low, low + _WIDTH])
-            m = np.zeros((len(sets), _WIDTH), np.float32)
+        parts, width = [], min(_WIDTH, len(both) - low)
+        for (place, owner), sets in zip(sides, (left, right), strict=False):
+            i, j = np.searchsorted(place, [low, low + width])
+            m = np.zeros((len(sets), width), np.float32)
             m[owner[i:j], place[i:j] - low] = 1
             parts.append(m)
-        out += parts[0] @ parts[1].T
+        out += parts[0] @ parts[-1].T
+    if left is right:
+        np.fill_diagonal(out, [len(x) for x in left])
     return np.rint(out).astype(np.int64)
 
 
@@ -230,7 +236,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _within(threshold: float, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the nodes of each block, and for blocks with partners where their sets are."""
     file = stream = None
-    at, out = 0, []
+    at, out, held = 0, [], 0
     for block, partners, nodes, copies, sets in _blocks(batches):
         nodes, copies = np.array(nodes), np.array(copies)
         labels = np.zeros(len(nodes), np.int64)
@@ -245,6 +251,7 @@ def _within(threshold: float, folder: str, batches: Iterator[pa.RecordBatch]) ->
         if partners:
             data = _pack(nodes, copies, labels, sets)
             if len(data) <= INLINE:
+                held += len(data)
                 out.append((None, None, None, block, None, 0, len(data), data))
             else:
                 if stream is None:
@@ -253,9 +260,9 @@ def _within(threshold: float, folder: str, batches: Iterator[pa.RecordBatch]) ->
                 stream.write(data)
                 out.append((None, None, None, block, file, at, len(data), None))
                 at += len(data)
-        if len(out) > 10_000:
+        if len(out) > 10_000 or held > 1 << 22:
             yield _batch(out, f"{_FOUND}, {_STORED}")
-            out = []
+            out, held = [], 0
     if stream is not None:
         stream.close()
     if out:
@@ -283,10 +290,10 @@ def _across(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 some = np.flatnonzero(count)
                 out += [(u, -1, w) for u, w in zip(nodes[some].tolist(), count[some].tolist(), strict=True)]
             # of nodes that are connected within a block, one stands for all
-            (one, i), (other, j) = (np.unique(x, return_inverse=True) for x in (left_labels, right_labels))
+            (one, one_of), (other, other_of) = (np.unique(x, return_inverse=True) for x in (left_labels, right_labels))
             square = np.zeros((1, len(one) + len(other), len(one) + len(other)), bool)
             x, y = np.nonzero(linked)
-            square[0, i[x], len(one) + j[y]] = True
+            square[0, one_of[x], len(one) + other_of[y]] = True
             ends = np.concatenate([left[one], right[other]])
             labels = forest(square)[0]
             apart = np.flatnonzero(labels != np.arange(len(ends)))

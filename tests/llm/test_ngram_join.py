@@ -161,6 +161,8 @@ def test_intersections():
     sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 900), dtype=np.uint64)) for _ in range(12)]
     want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:9]]
     assert ngram_join.common(sets[:9], sets[4:]).tolist() == want
+    one = sets[:9]
+    assert ngram_join.common(one, one).tolist() == [[len(np.intersect1d(a, b)) for b in one] for a in one]
     assert ngram_join.common(sets[:2], sets[2:4]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:4]] for a in sets[:2]]
 
 
