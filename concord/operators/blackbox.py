@@ -80,8 +80,11 @@ def membership_scores(features: DataFrame, pathways: Sequence[str] | None = None
     return features.groupBy("sample_id").agg(total.alias("membership_score"))
 
 
-def encode(outputs: DataFrame, encoder: Callable[[Sequence], Iterable[Sequence[float]]], column: str = "output") -> DataFrame:
-    """``outputs`` with z array<double>, by an encoder of batches of outputs; it must give one vector an output."""
+def encode(outputs: DataFrame, encoder: Callable[[Sequence], Iterable[Sequence[float]]], column: str = "output", unit_length: bool = False) -> DataFrame:
+    """``outputs`` with z array<double>, by an encoder of batches of outputs; it must give one vector an output.
+
+    With ``unit_length`` vectors are divided by their norms; a zero vector is an error then.
+    """
     schema = T.StructType([*outputs.drop("z").schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +94,8 @@ def encode(outputs: DataFrame, encoder: Callable[[Sequence], Iterable[Sequence[f
                 raise ValueError("the encoder must return one vector of the same length for each output")
             yield batch.assign(z=vectors)
 
-    return outputs.drop("z").mapInPandas(run, schema)
+    encoded = outputs.drop("z").mapInPandas(run, schema)
+    return encoded.withColumn("z", unit(F.col("z"))) if unit_length else encoded
 
 
 def query_outputs(

@@ -84,6 +84,8 @@ def test_each_query_is_made_once_and_steps_are_checked(spark):
         blackbox.query_and_extract(samples, ["p"], lambda row, p: int(row["query"]), uneven, encoder, 2, "multi_step").collect()
     outputs = blackbox.query_outputs(samples, ["p"], lambda row, p: "x", _answer, 2, "multi_step")
     assert blackbox.equal_steps(outputs).count() == 20
+    z = blackbox.encode(outputs.limit(1), lambda outs: [[3.0, 4.0] for _ in outs], unit_length=True).first().z
+    assert np.allclose(z, [0.6, 0.8])
 
 
 def test_pathways_are_summed_and_required(spark):
