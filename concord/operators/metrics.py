@@ -66,8 +66,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: tuple
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("__label"), value.alias("__score"))
     number = lambda test: F.sum(test.cast("long"))
     counts = rows.groupBy(*by, "__score").agg(number(F.col("__label") == 1).alias("p"), number(F.col("__label") == 0).alias("n"), F.count("*").alias("a"))
-    counts = _running(counts, "__score", ["a"], by)
+    # all counts are summed up, so that the places that need them share one scan and shuffle
+    counts = _running(counts, "__score", ["a", "p", "n"], by)
     ranks = F.sum(F.col("p") * (F.col("a_before") + (F.col("a") + 1) / 2))
-    p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
+    p, n = (F.max(F.col(f"{c}_before") + F.col(c)).cast("double") for c in ("p", "n"))
     auc = F.when((p > 0) & (n > 0), (ranks - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0.0)))
     return counts.groupBy(*by).agg(F.coalesce(auc, F.lit(float("nan"))).alias("auc"))
