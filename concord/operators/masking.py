@@ -159,6 +159,22 @@ def changed_span(before: Column, after: Column) -> Column:
     return F.struct(F.when(same, -1).otherwise(start).alias("start"), F.when(same, -1).otherwise(m - common).alias("end"))
 
 
+def insert_at_marker(plain: Column, marked: Column, inserted: Column, limit: int | None = None) -> Column:
+    """The tokens of a prompt with ``inserted`` in the place of its marker, cut off at ``limit``.
+
+    ``marked`` is the prompt with the marker and ``plain`` the same without it, so the
+    marker is where they differ, however it was taken apart into tokens. A prompt without
+    a marker, or one that only takes tokens away, is an error.
+    """
+    span = changed_span(plain, marked)
+    wrong = F.raise_error(F.lit("the prompt has no marker")).cast("array<int>")
+    start, end = span["start"], span["end"]
+    tail = F.slice(marked, end + 1, F.greatest(F.size(marked) - end, F.lit(0)))
+    whole = F.concat(F.slice(marked, F.lit(1), F.greatest(start, F.lit(0))), inserted, tail)
+    whole = F.when((start < 0) | (start >= end), wrong).otherwise(whole)
+    return whole if limit is None else F.slice(whole, 1, limit)
+
+
 def masked_counts(history: DataFrame, mask_id: int) -> DataFrame:
     """``history`` (token_ids array) with masked: how many of its tokens are still the mask."""
     return history.withColumn("masked", F.size(F.filter("token_ids", lambda t: t == mask_id)))

@@ -411,6 +411,16 @@ def changed_span(spark, sf):
 
 
 
+@_query("SELECT o_orderkey, list_concat(list_concat([x::INT for x in range(o_orderkey % 9)], [100, (o_orderkey % 50)::INT, 101]), [x::INT for x in range(o_orderkey % 9, 12)])[:12] AS token_ids FROM orders")
+def prompt_sequences(spark, sf):
+    """A marker of two tokens in a prompt of twelve; what is put in has a sign before and after it."""
+    k = (F.col("o_orderkey") % 9).cast("int")
+    plain = F.sequence(F.lit(0), F.lit(11))
+    marked = F.concat(F.slice(plain, F.lit(1), k), F.array(F.lit(-1), F.lit(-2)), F.slice(plain, k + 1, 12 - k))
+    rows = table(spark, sf, "orders").select("o_orderkey", plain.alias("plain"), marked.alias("marked"), F.array(F.lit(100), (F.col("o_orderkey") % 50).cast("int"), F.lit(101)).alias("inserted"))
+    return rows.select("o_orderkey", masking.insert_at_marker(F.col("plain"), F.col("marked"), F.col("inserted"), 12).alias("token_ids"))
+
+
 @_query("SELECT greatest(1, ceil((l_quantity % 9) * 0.35)::INT) AS steps, count(*) AS samples FROM lineitem GROUP BY 1")
 def step_buckets(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.greatest(F.lit(1), st.steps_for((F.col("l_quantity") % 9).cast("int"), 0.35)).alias("steps"))

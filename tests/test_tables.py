@@ -82,6 +82,16 @@ def test_changed_span(spark):
     assert got == {i: w for i, (_, _, w) in enumerate(cases)}
 
 
+def test_prompts_with_a_marker(spark):
+    cases = [([1, 2, 3], [1, 9, 8, 2, 3], [5, 6], [1, 5, 6, 2, 3]), ([1, 2], [9, 2], [5], [5, 2]), ([1], [1, 9], [], [1]), ([1, 2, 3, 4], [1, 2, 9, 3, 4], [5, 5, 5], [1, 2, 5, 5, 5, 3])]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, a array<int>, b array<int>, x array<int>")
+    got = {r.i: r.t for r in df.select("i", masking.insert_at_marker(F.col("a"), F.col("b"), F.col("x"), 6).alias("t")).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+    for a, b in (([1, 2], [1, 2]), ([1, 2, 3], [1, 3])):
+        with pytest.raises(Exception, match="no marker"):
+            spark.createDataFrame([(a, b, [5])], "a array<int>, b array<int>, x array<int>").select(masking.insert_at_marker(F.col("a"), F.col("b"), F.col("x"))).collect()
+
+
 def test_tokens(spark):
     logits = spark.createDataFrame([(0, 0, t, float(x)) for t, x in enumerate([1, 3, 3, 700])], "sample_id long, pos int, token_id int, logit double")
     top = masking.top_tokens(logits, 2, spark.createDataFrame([(0,), (1,), (2,)], "token_id int"))
