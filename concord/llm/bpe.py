@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.pieces import Coder, library, runs, to_letters
+from concord.llm.pieces import RUN_BYTES, Coder, library, runs, to_letters
 from concord.llm.shared import with_mapped
+from concord.llm.words import row_runs
 
 _NEVER = np.int64(1) << 40
 
@@ -202,15 +203,14 @@ def decode_ids(path: str, ids: bytes) -> str:
 
 def _with_ids(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(batch.num_columns - 1).to_pylist()
-        first = 0
-        for run in runs([t or "" for t in column]):
+        column = batch.column(batch.num_columns - 1)
+        for first, count in row_runs(column, RUN_BYTES):
+            run = column.slice(first, count).to_pylist()
             ids = encode_texts(path, run)
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             rows = [c.slice(first, len(run)) for c in batch.columns]
             yield pa.RecordBatch.from_arrays([*rows, pa.ListArray.from_arrays(pa.array(at), values)], [*batch.schema.names, "token_ids"])
-            first += len(run)
 
 
 def with_tokens(docs: DataFrame, path: str) -> DataFrame:

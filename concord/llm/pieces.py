@@ -244,7 +244,11 @@ class Coder:
         return [data[i:j] for i, j in zip(at, at[1:])]
 
 
-def runs(texts: list[str], most: int = 1 << 22) -> Iterable[list[str]]:
+#: Text that is encoded at a time.
+RUN_BYTES = 1 << 21
+
+
+def runs(texts: list[str], most: int = RUN_BYTES) -> Iterable[list[str]]:
     """The texts in order, about ``most`` characters at a time."""
     run, size = [], 0
     for text in texts:

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concord.llm import store
-from concord.llm.pieces import Coder, letters_of, library, runs, to_letters
+from concord.llm.pieces import RUN_BYTES, Coder, letters_of, library, runs, to_letters
+from concord.llm.words import row_runs
 
 MAGIC = b"CSST0002"
 FOOTER = struct.Struct("<QQQQIQQI8s")
@@ -241,7 +242,8 @@ def _write(folder: str, path: str, end: int | None, batches: Iterator[pa.RecordB
         made.append((TaskContext.get().partitionId(), len(made), file, writer.documents, writer.ids, first, last))
 
     for batch in batches:
-        for doc_id, ids in zip(batch.column(0).to_pylist(), library_ids(path, batch.column(1).to_pylist()), strict=True):
+        texts = (t for first, count in row_runs(batch.column(1), RUN_BYTES) for t in library_ids(path, batch.column(1).slice(first, count).to_pylist()))
+        for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
             if writer is None:
                 file = store.new_file(folder, ".sst")
                 writer = Writer(store.create(file), width)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; a longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -55,22 +55,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def row_runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of a text column of about ``most`` bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        begun = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, begun + most, "right")), first + 1)
+        yield first, last - first
+        first = last
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of texts in bytes) for runs of rows of about CHUNK_BYTES; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("")
-    if lower:
-        column = pc.utf8_lower(column)
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
-        last = min(max(last, first + 1), len(column))
-        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+    # rows are copied a chunk at a time, not the whole of a batch
+    for first, count in row_runs(column, CHUNK_BYTES):
+        part = column.slice(first, count).fill_null("")
+        part = (pc.utf8_lower(part) if lower else part).cast(pa.large_string())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + count + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        yield first, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _word_bytes(b: np.ndarray) -> np.ndarray:
