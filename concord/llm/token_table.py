@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concord.llm import store
-from concord.llm.pieces import RUN_BYTES, Coder, letters_of, library, runs, to_letters
+from concord.llm.pieces import Coder, letters_of, library, runs, to_letters
 from concord.llm.words import row_runs
 
 MAGIC = b"CSST0002"
@@ -45,6 +45,8 @@ _INDEX = struct.Struct("<9s9sQIIQ")
 BLOCK_BYTES = 1 << 18
 #: Bits of the Bloom filter a document, and its hashes.
 FILTER_BITS, FILTER_HASHES = 10, 7
+#: Text that is encoded at a time; in longer runs more stretches of text are the same.
+RUN_BYTES = 1 << 22
 #: Stored bytes and documents after which a task begins another shard; its keys are held until it ends.
 SHARD_BYTES, SHARD_DOCUMENTS = 1 << 28, 1 << 20
 
@@ -222,7 +224,7 @@ def _library_coder(path: str) -> Coder:
 def library_ids(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Token ids of each whole text by the tokenizers library; none for null and empty texts."""
     coder = _library_coder(path)
-    for run in runs([t or "" for t in texts]):
+    for run in runs([t or "" for t in texts], RUN_BYTES):
         for ids in coder(run):
             yield np.frombuffer(ids, "<u4")
 
