@@ -1,7 +1,9 @@
 """Scores from repeated queries of a model that shows its outputs only.
 
 Input is a table of embeddings (sample_id, pathway, query, step, z). With final-step
-access a sample has one step. Here k is strict: fewer values than k are an error.
+access a sample has one step. Here k is strict: fewer values than k are an error,
+unless ``strict`` is off; k is as much as there is then, and a sample of one query,
+which has no pairs, has no row.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from enum import Enum
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.vectors import dot, mean, mean_extreme_strict, unit
+from concord.functions.vectors import dot, mean, mean_extreme, mean_extreme_strict, unit
 
 
 class AccessMode(str, Enum):
@@ -36,7 +38,11 @@ def _check_k(k: int) -> None:
         raise ValueError("k must be at least 1")
 
 
-def step_views(embeddings: DataFrame, k: int = 1) -> DataFrame:
+def _extreme(values: str, k: int, largest: bool, what: str, strict: bool) -> Column:
+    return mean_extreme_strict(F.col(values), k, largest, what) if strict else mean_extreme(F.col(values), k, largest)
+
+
+def step_views(embeddings: DataFrame, k: int = 1, strict: bool = True) -> DataFrame:
     """(sample_id, pathway, step, exp, pess, opt): means over pairs of queries; of all, of the k smallest, of the k largest cosines."""
     _check_k(k)
     z = unit(F.col("z").cast("array<double>"))
@@ -45,25 +51,27 @@ def step_views(embeddings: DataFrame, k: int = 1) -> DataFrame:
     rows = embeddings.select("sample_id", "pathway", "query", "step", z.alias("z"), steps.alias("steps"))
     runs = F.array_sort(F.collect_list(F.struct("query", "z")))
     groups = rows.groupBy("sample_id", "pathway", "step").agg(runs.alias("runs"), F.min("steps").alias("least"), F.max("steps").alias("most"))
+    if not strict:
+        groups = groups.where(F.size("runs") > 1)
     few = F.raise_error(F.lit("a sample needs the outputs of two queries or more")).cast("array<double>")
     uneven = F.raise_error(F.lit("the queries of a sample showed different numbers of steps")).cast("array<double>")
     each = F.transform("runs", lambda a: F.transform(F.filter("runs", lambda b: b["query"] > a["query"]), lambda b: dot(a["z"], b["z"])))
     sims = F.when(F.col("least") != F.col("most"), uneven).when(F.size("runs") < 2, few).otherwise(F.flatten(each))
     df = groups.select("sample_id", "pathway", "step", sims.alias("sims"))
-    pess, opt = (mean_extreme_strict(F.col("sims"), k, largest, "pairs") for largest in (False, True))
+    pess, opt = (_extreme("sims", k, largest, "pairs", strict) for largest in (False, True))
     return df.select("sample_id", "pathway", "step", mean(F.col("sims")).alias("exp"), pess.alias("pess"), opt.alias("opt"))
 
 
-def pathway_features(embeddings: DataFrame, mode: AccessMode | str, k: int = 1) -> DataFrame:
+def pathway_features(embeddings: DataFrame, mode: AccessMode | str, k: int = 1, strict: bool = True) -> DataFrame:
     """(sample_id, pathway, exp, pess, opt): views over pairs of each step, then, with multi-step access, the same views over steps."""
-    views = step_views(embeddings, k)
+    views = step_views(embeddings, k, strict)
     if access_mode(mode) is AccessMode.FINAL_STEP:
         several = F.raise_error(F.lit("final_step embeddings have one step")).cast("double")
         once = views.groupBy("sample_id", "pathway").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("exp", "pess", "opt")))
         return once.select("sample_id", "pathway", F.when(F.col("n") > 1, several).otherwise(F.col("exp")).alias("exp"), "pess", "opt")
     steps = views.groupBy("sample_id", "pathway").agg(F.avg("exp").alias("exp"), F.collect_list("pess").alias("p"), F.collect_list("opt").alias("o"))
     return steps.select(
-        "sample_id", "pathway", "exp", mean_extreme_strict(F.col("p"), k, False, "steps").alias("pess"), mean_extreme_strict(F.col("o"), k, True, "steps").alias("opt")
+        "sample_id", "pathway", "exp", _extreme("p", k, False, "steps", strict).alias("pess"), _extreme("o", k, True, "steps", strict).alias("opt")
     )
 
 
