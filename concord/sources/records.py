@@ -1,8 +1,8 @@
 """Input records and results as JSON lines, JSON arrays and folders of texts.
 
 A line's ordinal is its place among the lines of all files, files in order of their
-paths. Spark keeps the order of lines within a partition and of partitions within a
-scan, so ordinals are the counts of partitions before plus the place within.
+paths. Lines of a block of a file are numbered as they are read; blocks, of which there
+are few, are added up, so lines are neither sorted nor sent anywhere to be numbered.
 """
 
 from __future__ import annotations
@@ -14,25 +14,26 @@ from pyspark.sql import types as T
 from concord.functions.labels import label_for_json, label_to_int
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_id, value), line_id in the order of the lines of each file."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"), "value")
+def _lines(spark: SparkSession, path: str, condition: str = "true") -> DataFrame:
+    """(file, block, line_id, value) of the lines that ``condition`` holds for; within a block of a file line_ids follow one another."""
+    # the ids are given after the filter, which Spark keeps below them
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").where(condition)
+    return lines.select("file", "block", F.monotonically_increasing_id().alias("line_id"), "value")
 
 
-def number_lines(lines: DataFrame, counted: str | None = None) -> DataFrame:
-    """``lines`` with ordinal, from 0: the number of lines before, of those only for which ``counted`` holds if given.
+def number_lines(lines: DataFrame, by_file: bool = False) -> DataFrame:
+    """``lines`` of _lines() with ordinal, from 0: the number of lines before, of all files or, with ``by_file``, of the line's own.
 
-    Within a block of a file lines are numbered by a window; blocks, of which there are
-    few, are added up on their own, so no task sees all lines.
+    Only blocks meet, a row each: their first ids and the numbers of lines before them.
     """
-    own = F.expr(counted).cast("int") if counted else F.lit(1)
-    rows = lines.withColumn("__one", own)
-    totals = rows.groupBy("file", "block").agg(F.sum("__one").alias("n"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("file", "block").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__within", F.coalesce(F.sum("__one").over(within), F.lit(0))).join(starts, ["file", "block"])
-    return rows.withColumn("ordinal", (F.col("__start") + F.col("__within")).cast("long")).drop("__one", "__start", "__within", "block")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("__n"), F.min("line_id").alias("__first"))
+    w = Window.partitionBy("file").orderBy("block") if by_file else Window.orderBy("file", "block")
+    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("__first")).alias("__shift"))
+    # a row a block, which the driver's list of files has too
+    rows = lines.join(F.broadcast(starts), ["file", "block"], "left")
+    unknown = F.raise_error(F.concat(F.lit("the blocks of a file have changed: "), F.col("file"))).cast("long")
+    return rows.withColumn("ordinal", F.when(F.col("__shift").isNull(), unknown).otherwise(F.col("line_id") + F.col("__shift"))).drop("__shift", "block")
 
 
 def _strip(c) -> F.Column:
@@ -61,8 +62,7 @@ def read_records(spark: SparkSession, path: str, columns: dict[str, str], label_
     out. A line that is not JSON is an error, or left out if ``malformed`` is "skip";
     it has an ordinal either way.
     """
-    lines = _lines(spark, path).where(_FILLED)
-    rows = number_lines(lines)
+    rows = number_lines(_lines(spark, path, _FILLED))
     if limit is not None:
         rows = first_records(rows, limit, "ordinal")
     if malformed == "raise":

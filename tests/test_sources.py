@@ -3,8 +3,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concord.operators import fusion, resume
+from concord.plans import round_trips
 from concord.sources import arrays, records, sinks
 from concord.streaming import evidence as streaming
 from tests import kernel
@@ -180,3 +182,35 @@ def test_windows_of_a_stream(spark, sf, tmp_path):
     query = streaming.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read 2,000 bytes at a time, and shuffles keep their partitions."""
+    conf = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, small_blocks):
+    rows = [{"text": f"text {i}", "label": i % 2} if i % 3 else "" for i in range(900)]
+    for name in ("b.jsonl", "a.jsonl"):
+        _write(tmp_path / name, [{"text": f"{name} {i}", "label": 1} for i in range(100)] if name == "b.jsonl" else rows)
+    found = records.read_text_records(spark, str(tmp_path))
+    want = [(n, f"text {i}") for n, i in enumerate(i for i in range(900) if i % 3)] + [(600 + i, f"b.jsonl {i}") for i in range(100)]
+    assert [(r.sample_id, r.text) for r in found.orderBy("sample_id").collect()] == want
+    assert found.select(F.spark_partition_id()).distinct().count() > 5  # so many blocks, not so many partitions of a shuffle
+    assert [r.text for r in records.read_text_records(spark, str(tmp_path), limit=2).orderBy("sample_id").collect()] == ["text 1", "text 2"]
+
+
+def test_records_of_a_query_are_written_by_several_tasks(spark, sf, small_blocks):
+    path = round_trips._text_lines(spark, sf)
+    assert len(spark.read.text(path).inputFiles()) > 1
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").where("doc_id % 7 <> 3").select("doc_id").orderBy("doc_id").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = records.read_text_records(spark, path).collect()
+    assert found and all(texts[ids[r.sample_id]] == r.text for r in found)
