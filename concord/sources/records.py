@@ -173,9 +173,7 @@ def read_results(spark: SparkSession, path: str, label_key: str = "label", extra
     Blank lines count but have no record. A line that is not a JSON object is an error
     that gives its number, from 1, in its file.
     """
-    lines = _lines(spark, path)
-    w = Window.partitionBy("file").orderBy("block", "line_id")
-    rows = lines.withColumn("line_no", F.row_number().over(w)).where(_FILLED)
+    rows = number_lines(_lines(spark, path), by_file=True).withColumn("line_no", (F.col("ordinal") + 1).cast("int")).where(_FILLED)
     good = _strip("value").startswith("{") & F.try_parse_json("value").isNotNull()
     wrong = F.raise_error(F.concat(F.lit("invalid record in "), F.col("file"), F.lit(" at line "), F.col("line_no").cast("string")))
     value = F.when(good, F.col("value")).otherwise(wrong.cast("string"))

@@ -214,3 +214,12 @@ def test_records_of_a_query_are_written_by_several_tasks(spark, sf, small_blocks
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = records.read_text_records(spark, path).collect()
     assert found and all(texts[ids[r.sample_id]] == r.text for r in found)
+
+
+def test_lines_of_a_large_result_file_are_numbered_where_they_are_read(spark, tmp_path, small_blocks):
+    rows = [{"sample_id": i % 50, "label": i % 2, "status": str(i)} if i % 4 else "" for i in range(600)]
+    for rank in (0, 10):
+        _write(tmp_path / f"results_rank{rank}.jsonl", rows)
+    found = records.read_result_shards(spark, str(tmp_path))
+    assert sorted((r.line_no, r.status) for r in found.collect()) == sorted([(i + 1, str(i)) for i in range(600) if i % 4] * 2)
+    assert found.select(F.spark_partition_id().alias("p"), "line_no").where("line_no > 0").select("p").distinct().count() > 5
