@@ -70,6 +70,17 @@ def _all_logits(model: Denoiser, sequences: list[np.ndarray]) -> list[np.ndarray
     return [x[i, : len(s)] for i, s in enumerate(sequences)]
 
 
+#: Numbers that a task hands on at once, 8 MB of them.
+HELD = 1 << 20
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` over as many tasks as there are partitions of a shuffle or cores: rows of few bytes that are long work would else be put together in one."""
+    spark = rows.sparkSession
+    # by a hash, as Spark drops a repartition by keys that an aggregate has left the rows dealt by
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(*keys))
+
+
 class _Run:
     """One trajectory of a sequence while it is filled."""
 
@@ -211,13 +222,26 @@ def generation_features(records: DataFrame, model_factory: Callable[[], object],
     calls = records.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     names = [c for c in records.columns if c != "sample_id"]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        ids, generations, frames, z, status = zip(*rows, strict=True)
+        return pd.DataFrame({"sample_id": ids, "generation": generations, "frame": pd.array(frames, "Int32"), "z": pd.Series(z, dtype=object), "status": status})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
+        rows, held = [], 0
         for b in batches:
             for r in b.to_dict("records"):
                 found = model.features({c: r[c] for c in names}, base_seed + r["sample_id"] * seed_stride + r["generation"])
-                frames = [None] if isinstance(found, str) else range(len(found))
-                z = [None] if isinstance(found, str) else [np.asarray(f, np.float64) for f in found]
-                yield pd.DataFrame({"sample_id": r["sample_id"], "generation": r["generation"], "frame": pd.array(frames, "Int32"), "z": z, "status": found if isinstance(found, str) else "ok"})
-
-    return calls.mapInPandas(run, "sample_id long, generation int, frame int, z array<double>, status string")
+                if isinstance(found, str):
+                    rows.append((r["sample_id"], r["generation"], None, None, found))
+                else:
+                    z = [np.asarray(f, np.float64) for f in found]
+                    rows += [(r["sample_id"], r["generation"], k, f, "ok") for k, f in enumerate(z)]
+                    held += sum(f.size for f in z)
+                if held >= HELD or len(rows) >= 10_000:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    return _dealt(calls, "sample_id", "generation").mapInPandas(run, "sample_id long, generation int, frame int, z array<double>, status string")
