@@ -141,24 +141,31 @@ def denoise(
     chosen = masks.groupBy("sample_id", "traj").agg(F.array_sort(F.collect_list("pos")).alias("masked"))
     rows = chosen.join(samples.select("sample_id", "token_ids"), "sample_id").join(candidates.select("sample_id", "candidate_ids"), "sample_id").withColumn("steps", steps_for(F.size("masked"), steps))
 
-    def cells(key: tuple, run: _Run) -> pd.DataFrame:
-        s, n, d = run.probabilities.shape
-        i, j = (x.ravel() for x in np.indices((s, n)))
-        out = pd.DataFrame({"sample_id": key[0], "traj": key[1], "step": i, "pos": j, "v": list(run.probabilities.reshape(s * n, d))})
+    def cells(runs: list[tuple[tuple, _Run]]) -> pd.DataFrame:
+        parts = []
+        for key, run in runs:
+            s, n, d = run.probabilities.shape
+            i, j = (x.ravel() for x in np.indices((s, n)))
+            parts.append((np.full(s * n, key[0]), np.full(s * n, key[1]), i, j, list(run.probabilities.reshape(s * n, d)), None))
+            if history:
+                s = len(run.history)
+                parts.append((np.full(s, key[0]), np.full(s, key[1]), np.arange(s), np.full(s, -1), [None] * s, run.history))
+        out = {name: np.concatenate([p[c] for p in parts]) for c, name in enumerate(("sample_id", "traj", "step", "pos"))}
+        out["v"] = pd.Series([v for p in parts for v in p[4]], dtype=object)
         if history:
-            out["token_ids"] = None
-            steps = pd.DataFrame({"sample_id": key[0], "traj": key[1], "step": range(len(run.history)), "pos": -1, "v": None, "token_ids": run.history})
-            out = pd.concat([out, steps], ignore_index=True)
-        return out
+            out["token_ids"] = pd.Series([t for p in parts for t in (p[5] if p[5] is not None else [None] * len(p[4]))], dtype=object)
+        return pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         waiting: dict[int, list[tuple[tuple, _Run]]] = {}
+        held: list[tuple[tuple, _Run]] = []
 
-        def done(steps: int) -> Iterator[pd.DataFrame]:
+        def finish(steps: int) -> bool:
             group = waiting.pop(steps)
             _finish(model, [r for _, r in group])
-            yield from (cells(*x) for x in group)
+            held.extend(group)
+            return sum(r.probabilities.size + len(r.history) * len(r.tokens) for _, r in held) >= HELD or len(held) >= 1000
 
         for b in batches:
             for r in b.itertuples(index=False):
@@ -166,13 +173,16 @@ def denoise(
                 ids = np.stack([np.asarray(c) for c in r.candidate_ids])
                 one = _Run(np.asarray(r.token_ids), np.asarray(r.masked), ids, int(r.steps), mask_id, rng, temperature)
                 waiting.setdefault(int(r.steps), []).append(((r.sample_id, r.traj), one))
-                if len(waiting[int(r.steps)]) >= batch_size:
-                    yield from done(int(r.steps))
+                if len(waiting[int(r.steps)]) >= batch_size and finish(int(r.steps)):
+                    yield cells(held)
+                    held.clear()
         for steps in list(waiting):
-            yield from done(steps)
+            finish(steps)
+        if held:
+            yield cells(held)
 
     schema = "sample_id long, traj int, step int, pos int, v array<double>"
-    return rows.mapInPandas(run, schema + (", token_ids array<int>" if history else ""))
+    return _dealt(rows, "sample_id", "traj").mapInPandas(run, schema + (", token_ids array<int>" if history else ""))
 
 
 def clean_forward(records: DataFrame, model_factory: Callable[[], SequenceModel], d: int, domain: str = "text", most: int = 1024) -> DataFrame:
