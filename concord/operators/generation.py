@@ -74,7 +74,7 @@ def _all_logits(model: Denoiser, sequences: list[np.ndarray]) -> list[np.ndarray
 HELD = 1 << 20
 
 
-def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` over as many tasks as there are partitions of a shuffle or cores: rows of few bytes that are long work would else be put together in one."""
     spark = rows.sparkSession
     # by a hash, as Spark drops a repartition by keys that an aggregate has left the rows dealt by
@@ -182,7 +182,7 @@ def denoise(
             yield cells(held)
 
     schema = "sample_id long, traj int, step int, pos int, v array<double>"
-    return _dealt(rows, "sample_id", "traj").mapInPandas(run, schema + (", token_ids array<int>" if history else ""))
+    return dealt(rows, "sample_id", "traj").mapInPandas(run, schema + (", token_ids array<int>" if history else ""))
 
 
 def clean_forward(records: DataFrame, model_factory: Callable[[], SequenceModel], d: int, domain: str = "text", most: int = 1024) -> DataFrame:
@@ -254,4 +254,4 @@ def generation_features(records: DataFrame, model_factory: Callable[[], object],
         if rows:
             yield frame(rows)
 
-    return _dealt(calls, "sample_id", "generation").mapInPandas(run, "sample_id long, generation int, frame int, z array<double>, status string")
+    return dealt(calls, "sample_id", "generation").mapInPandas(run, "sample_id long, generation int, frame int, z array<double>, status string")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from concord.plans import round_trips
 from tests.test_entry import _same
 
 
@@ -39,3 +40,11 @@ def test_black_box_of_fewer_pairs_than_k(spark, cut, name):
 def test_streamed_sample_of_fewer_cells(spark, cut):
     folder, rest = cut
     assert len(_compare(spark, folder, "streamed_evidence")) == 20 + (rest == 2)
+
+
+def test_a_file_a_text_is_written_by_several_tasks(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/supplier.parquet").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = round_trips.QUERIES["read_labelled_folders"](spark, str(tmp_path))
+    parts = {f.rpartition("/")[2][:10] for f in found.inputFiles()}
+    assert len(parts) > 1  # part-00000, part-00001, ...
+    _compare(spark, str(tmp_path), "read_labelled_folders")
