@@ -7,8 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _matrix(content: bytes) -> list[list[float]]:
+    m = np.asarray(np.load(io.BytesIO(content)), np.float64)
+    if m.ndim != 2 or 0 in m.shape:
+        raise ValueError("a similarity matrix must be two-dimensional and not empty")
+    return m.tolist()
 
 
 def read_matrices(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
@@ -17,13 +26,7 @@ def read_matrices(spark: SparkSession, path: str, key: str = "path") -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for content in b["content"]:
-                m = np.asarray(np.load(io.BytesIO(content)), np.float64)
-                if m.ndim != 2 or 0 in m.shape:
-                    raise ValueError("a similarity matrix must be two-dimensional and not empty")
-                out.append([r.tolist() for r in m])
-            yield pd.DataFrame({key: b[key], "matrix": out})
+            yield pd.DataFrame({key: b[key], "matrix": [_matrix(c) for c in b["content"]]})
 
     return files.mapInPandas(run, f"{key} string, matrix array<array<double>>")
 
@@ -37,15 +40,24 @@ def read_sample_folders(spark: SparkSession, path: str) -> DataFrame:
     """
     from concord.operators.video import last_of_each
 
-    parent = lambda c: F.regexp_replace(c, "/[^/]+$", "")
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    texts = meta.select(parent("path").alias("folder"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.decode("content", "UTF-8").alias("value"))
-    facts = texts.where(F.col("name").isin("sample_meta.json", "meta.json")).groupBy("folder").agg(F.max_by("value", "name").alias("value"))
-    facts = facts.select("folder", F.from_json("value", "status string, sample_id long, label long").alias("m")).where("m.status = 'ok'")
-    maps = texts.where(F.col("name") == "similarity_row_map.json").select("folder", F.from_json("value", "array<struct<pair_type:string,i:int,j:int>>").alias("row_map"))
-    matrices = read_matrices(spark, path).where(F.col("path").endswith("/similarity_matrix.npy")).select(parent("path").alias("folder"), "matrix")
-    rows = facts.join(maps, "folder").join(matrices, "folder").select(F.col("m.sample_id").alias("sample_id"), F.col("m.label").alias("label"), "folder", "row_map", "matrix")
-    return last_of_each(rows, "folder")
+    # one listing and one shuffle bring a sample's files together
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{sample_meta.json,meta.json,similarity_row_map.json,similarity_matrix.npy}").load(path)
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    named = files.select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"), name.alias("name"), "content")
+    of = lambda *names: F.max_by(F.when(F.col("name").isin(*names), F.col("content")), F.when(F.col("name").isin(*names), F.col("name")))
+    samples = named.groupBy("folder").agg(of("sample_meta.json", "meta.json").alias("meta"), of("similarity_row_map.json").alias("map"), of("similarity_matrix.npy").alias("content"))
+    facts = samples.withColumn("m", F.from_json(F.decode("meta", "UTF-8"), "status string, sample_id long, label long")).where("m.status = 'ok' AND map IS NOT NULL AND content IS NOT NULL")
+    row_map = F.from_json(F.decode("map", "UTF-8"), "array<struct<pair_type:string,i:int,j:int>>")
+    found = facts.select(F.col("m.sample_id").alias("sample_id"), F.col("m.label").alias("label"), "folder", row_map.alias("row_map"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            matrices = pa.array([_matrix(c) for c in b.column("content").to_pylist()], pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], matrices], [*b.schema.names[:-1], "matrix"])
+
+    out = T.StructType([*found.schema.fields[:-1], T.StructField("matrix", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    # of repeated samples the last goes on before its matrix is read
+    return last_of_each(found, "folder").mapInArrow(run, out)
 
 
 def _artifacts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.operators.generation import dealt
+
 
 def write_results(df: DataFrame, path: str, resume: bool = False) -> None:
     """Result records as JSON lines; a resumed run adds to what is there."""
@@ -35,14 +38,20 @@ def write_cells(cells: DataFrame, path: str, pathway: str) -> None:
     cells.withColumn("v", F.col("v").cast("array<float>")).withColumn("pathway", F.lit(pathway)).write.mode("append").partitionBy("pathway").parquet(path)
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
+@functools.cache
+def _filesystem(folder: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    full = f"{path.rstrip('/')}/{name}"
-    system.create_dir(full.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(full, compression=None) as f:
-        f.write(data)
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def _put(folder: str, files: Mapping[str, bytes]) -> None:
+    """Writes files of one folder, by name."""
+    system, path = _filesystem(folder)
+    system.create_dir(path, recursive=True)
+    for name, data in files.items():
+        with system.open_output_stream(f"{path.rstrip('/')}/{name}", compression=None) as f:
+            f.write(data)
 
 
 def write_artifacts(cells: DataFrame, positions: DataFrame, folder: str, dtype: str = "float16") -> int:
@@ -72,7 +81,7 @@ def write_artifacts(cells: DataFrame, positions: DataFrame, folder: str, dtype:
             observed_token_log_probabilities=positions["logp"].to_numpy(dtype),
             **extra,
         )
-        _put(folder, f"sample_{key[0]}.npz", out.getvalue())
+        _put(folder, {f"sample_{key[0]}.npz": out.getvalue()})
         return pd.DataFrame({"sample_id": [key[0]]})
 
     # both may come of one table; what is grouped then needs columns of its own
@@ -89,25 +98,37 @@ def write_matrices(pairs: DataFrame, folder: str, status: DataFrame | None = Non
     matrix, such as those that were skipped.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        name = f"sample_{key[0]:06d}"
-        table = rows.pivot(index=["pair_type", "i", "j"], columns="frame", values="sim").sort_index()
-        out = io.BytesIO()
-        np.save(out, table.to_numpy(np.float32))
-        _put(folder, f"{name}/similarity_matrix.npy", out.getvalue())
-        _put(folder, f"{name}/similarity_row_map.json", json.dumps([{"pair_type": p, "i": int(i), "j": int(j)} for p, i, j in table.index]).encode())
-        _put(folder, f"{name}/sample_meta.json", json.dumps({"status": "ok", "sample_id": int(key[0]), "label": int(rows["label"].iloc[0])}).encode())
-        return pd.DataFrame({"sample_id": [key[0]]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                frames, column = np.unique(r.frame, return_inverse=True)
+                keys = list(zip(r.pair_type, r.i.tolist(), r.j.tolist(), strict=True))  # in order, the cells of a pair together
+                place = {k: n for n, k in enumerate(dict.fromkeys(keys))}
+                at = np.array([place[k] for k in keys]) * len(frames) + column
+                if len(np.unique(at)) < len(at):
+                    raise ValueError(f"a similarity is there twice: sample {r.sample_id}")
+                matrix = np.full(len(place) * len(frames), np.nan, np.float32)
+                matrix[at] = r.sim
+                out = io.BytesIO()
+                np.save(out, matrix.reshape(len(place), len(frames)))
+                row_map = json.dumps([{"pair_type": p, "i": i, "j": j} for p, i, j in place])
+                meta = json.dumps({"status": "ok", "sample_id": int(r.sample_id), "label": int(r.label)})
+                _put(f"{folder.rstrip('/')}/sample_{r.sample_id:06d}", {"similarity_matrix.npy": out.getvalue(), "similarity_row_map.json": row_map.encode(), "sample_meta.json": meta.encode()})
+            yield b[["sample_id"]]
 
     def describe(batches):
         for b in batches:
             for r in b.itertuples(index=False):
-                _put(folder, f"sample_{r.sample_id:06d}/sample_meta.json", json.dumps({"status": r.status, "sample_id": int(r.sample_id), "label": int(r.label)}).encode())
+                _put(f"{folder.rstrip('/')}/sample_{r.sample_id:06d}", {"sample_meta.json": json.dumps({"status": r.status, "sample_id": int(r.sample_id), "label": int(r.label)}).encode()})
             yield b[["sample_id"]]
 
     if status is not None:
         status.where("status <> 'ok'").select("sample_id", "label", "status").mapInPandas(describe, "sample_id long").count()
-    return pairs.groupBy("sample_id").applyInPandas(run, "sample_id long").count()
+    cells = F.array_sort(F.collect_list(F.struct("pair_type", "i", "j", "frame", F.col("sim").cast("float").alias("sim"))))
+    samples = pairs.groupBy("sample_id").agg(F.min("label").alias("label"), cells.alias("c"))
+    samples = samples.select("sample_id", "label", *(F.col(f"c.{n}").alias(n) for n in ("pair_type", "i", "j", "frame", "sim")))
+    # three files a sample take long for their few bytes
+    return dealt(samples, "sample_id").mapInPandas(run, "sample_id long").count()
 
 
 def write_pairs(pairs: DataFrame, path: str, pathway: str) -> None:

@@ -223,3 +223,18 @@ def test_lines_of_a_large_result_file_are_numbered_where_they_are_read(spark, tm
     found = records.read_result_shards(spark, str(tmp_path))
     assert sorted((r.line_no, r.status) for r in found.collect()) == sorted([(i + 1, str(i)) for i in range(600) if i % 4] * 2)
     assert found.select(F.spark_partition_id().alias("p"), "line_no").where("line_no > 0").select("p").distinct().count() > 5
+
+
+def test_sample_folders_are_listed_once_and_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = [(s, 1, "gen_gen", i, j, f, (s + i + j + f) / 8) for s in range(30) for i, j in ((1, 2), (0, 2), (0, 1)) for f in (3, 0, 11) if (i, f) != (1, 11)]
+    pairs = spark.createDataFrame(rows, "sample_id long, label int, pair_type string, i int, j int, frame int, sim double")
+    assert sinks.write_matrices(pairs, str(tmp_path / "m")) == 30
+    seen, load = [], type(spark.read).load
+    monkeypatch.setattr(type(spark.read), "load", lambda self, *a, **k: seen.append(a) or load(self, *a, **k))
+    found = arrays.read_sample_folders(spark, str(tmp_path / "m"))
+    assert len(seen) == 1
+    got = {r.sample_id: r for r in found.collect()}
+    assert sorted(got) == list(range(30)) and [(m.i, m.j) for m in got[7].row_map] == [(0, 1), (0, 2), (1, 2)]
+    assert np.allclose(got[7].matrix, [[1.0, 1.375, 2.375], [1.125, 1.5, 2.5], [1.25, 1.625, math.nan]], equal_nan=True)
+    with pytest.raises(Exception, match="there twice"):
+        sinks.write_matrices(pairs.union(pairs.limit(1)), str(tmp_path / "twice"))
