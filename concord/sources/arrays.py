@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """The files below a folder whose names fit a pattern, as Spark's binaryFile gives them."""
+    # Spark lists a folder of folders by a task for each of up to 10,000, which take far longer to start than to list
+    before = spark.conf.get(_LISTING)
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spark.conf.set(_LISTING, str(min(tasks, int(before))))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    finally:
+        spark.conf.set(_LISTING, before)
+
+
 def _matrix(content: bytes) -> list[list[float]]:
     m = np.asarray(np.load(io.BytesIO(content)), np.float64)
     if m.ndim != 2 or 0 in m.shape:
@@ -22,7 +37,7 @@ def _matrix(content: bytes) -> list[list[float]]:
 
 def read_matrices(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
     """(path, matrix array<array<double>>) of all .npy files below a folder; one that is not a filled matrix is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path).select(F.col("path").alias(key), "content")
+    files = _files(spark, path, "*.npy").select(F.col("path").alias(key), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -41,7 +56,7 @@ def read_sample_folders(spark: SparkSession, path: str) -> DataFrame:
     from concord.operators.video import last_of_each
 
     # one listing and one shuffle bring a sample's files together
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{sample_meta.json,meta.json,similarity_row_map.json,similarity_matrix.npy}").load(path)
+    files = _files(spark, path, "{sample_meta.json,meta.json,similarity_row_map.json,similarity_matrix.npy}")
     name = F.regexp_extract("path", "[^/]+$", 0)
     named = files.select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"), name.alias("name"), "content")
     of = lambda *names: F.max_by(F.when(F.col("name").isin(*names), F.col("content")), F.when(F.col("name").isin(*names), F.col("name")))
@@ -61,7 +76,7 @@ def read_sample_folders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _artifacts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return _files(spark, path, "*.npz").select("path", "content")
 
 
 def _first_position(z) -> int:

@@ -251,3 +251,19 @@ def test_sample_folders_are_listed_once_and_written_by_several_tasks(spark, tmp_
     assert np.allclose(got[7].matrix, [[1.0, 1.375, 2.375], [1.125, 1.5, 2.5], [1.25, 1.625, math.nan]], equal_nan=True)
     with pytest.raises(Exception, match="there twice"):
         sinks.write_matrices(pairs.union(pairs.limit(1)), str(tmp_path / "twice"))
+
+
+def test_many_sample_folders_are_listed_by_few_tasks(spark, tmp_path):
+    pairs = spark.range(90).selectExpr("id AS sample_id", "1 AS label", "'gen_gen' AS pair_type", "0 AS i", "1 AS j", "0 AS frame", "id / 128D AS sim")
+    assert sinks.write_matrices(pairs, str(tmp_path / "m")) == 90
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    group, tracker = "listing of sample folders", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = arrays.read_sample_folders(spark, str(tmp_path / "m"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 16
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert {r.sample_id: r.matrix for r in found.collect()} == {s: [[s / 128]] for s in range(90)}
